@@ -1,3 +1,3 @@
 """The modules of this subpackage that hold QUERIES and ORACLE."""
 
-MODULES = ["quern.llm.conversations"]
+MODULES = ["quern.llm.conversations", "quern.llm.garbled"]
