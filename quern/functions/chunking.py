@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.let import let
+
 #: Texts are cut at so many characters before anything else.
 MOST_CHARS = 500_000
 #: Chunks of at most so many characters are left out, unless the text is one chunk.
@@ -25,11 +25,6 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, "^[ \t\n\r\u0000\u000b]+|[ \t\n\r\u0000\u000b]+$", "")
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with the value computed once however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _last(part: Column, s: Column) -> Column:
     """The place of the last S in PART, from 0; -1 if there is none."""
     at = F.call_function("locate", F.reverse(s), F.reverse(part))
@@ -43,12 +38,12 @@ def _broken(chunk: Column) -> Column:
     ends = F.array(*map(F.lit, ENDS))
 
     def later(part: Column) -> Column:
-        return F.aggregate(ends, F.lit(-1), lambda end, s: _let(_last(part, s), lambda p: F.when(p > end, p + F.length(s)).otherwise(end)))
+        return F.aggregate(ends, F.lit(-1), lambda end, s: let(_last(part, s), lambda p: F.when(p > end, p + F.length(s)).otherwise(end)))
 
     space = _last(chunk, F.lit(" "))
-    end = _let(F.substring(chunk, start + 1, n), later)
+    end = let(F.substring(chunk, start + 1, n), later)
     pick = lambda e: F.when(e > 0, F.substring(chunk, F.lit(1), start + e)).when(space > n * 0.7, F.substring(chunk, F.lit(1), space)).otherwise(chunk)
-    return _let(end, pick)
+    return let(end, pick)
 
 
 def chunk_list(c: Column, size: int = 1024, overlap: int = 200) -> Column:
@@ -59,7 +54,7 @@ def chunk_list(c: Column, size: int = 1024, overlap: int = 200) -> Column:
     """
     if overlap >= size:
         overlap = max(0, size // 4)
-    return _let(normalize(c), lambda t: _chunks(t, size, overlap))
+    return let(normalize(c), lambda t: _chunks(t, size, overlap))
 
 
 def _chunks(t: Column, size: int, overlap: int) -> Column:
@@ -76,8 +71,8 @@ def _chunks(t: Column, size: int, overlap: int) -> Column:
             more = F.when(cut != "", F.array(F.struct(F.size(acc["out"]).alias("chunk_index"), cut.alias("content"), (at + size >= n).alias("last"))))
             return F.struct((at + ahead).cast("int").alias("at"), F.concat(acc["out"], F.coalesce(more, F.array().cast(_CHUNKS))).alias("out"))
 
-        cut = _let(raw, lambda x: _trim(F.when(at + size < n, _broken(x)).otherwise(x)))
-        return F.when(at < n, _let(cut, grown)).otherwise(acc)
+        cut = let(raw, lambda x: _trim(F.when(at + size < n, _broken(x)).otherwise(x)))
+        return F.when(at < n, let(cut, grown)).otherwise(acc)
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_CHUNKS).alias("out"))
     many = F.filter(F.aggregate(steps, zero, step, lambda a: a["out"]), lambda x: F.length(x["content"]) > LEAST_CHARS)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.let import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length."""
@@ -29,6 +31,5 @@ def hash_embedding(text: Column, dim: int = 256) -> Column:
     """Counts of the words of TEXT by CRC-32 modulo DIM, scaled to length 1 (all zeros for no words)."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    length = norm(counts)
-    return F.transform(counts, lambda x: x / F.when(length > 0, length).otherwise(F.lit(1.0)))
+    counts = let(slots, lambda x: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(x, lambda s: s == i)).cast("double")))
+    return let(counts, lambda v: let(norm(v), lambda length: F.transform(v, lambda x: x / F.when(length > 0, length).otherwise(F.lit(1.0)))))
