@@ -54,14 +54,14 @@ class _Counts:
 
     def best_pair(self, room: int, but: int) -> int:
         """The largest joint size of at most ROOM of two items besides one of size BUT, or 0."""
-        best, hi = 0, bisect_right(self.sizes, room) - 1
-        lo = 0
+        usable = [s for s in self.sizes[: bisect_right(self.sizes, room)] if self.n[s] - (s == but) > 0]
+        best, lo, hi = 0, 0, len(usable) - 1
         while lo <= hi:
-            a, b = self.sizes[lo], self.sizes[hi]
+            a, b = usable[lo], usable[hi]
             if a + b > room:
                 hi -= 1
                 continue
-            if (self.n[a] - (a == but) > 0) and (self.n[b] - (b == but) - (a == b) > 0):
+            if a != b or self.n[a] - (a == but) > 1:
                 best = max(best, a + b)
             lo += 1
         return best
@@ -101,7 +101,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
             break
     while c.sizes:  # best fit for the rest: the largest item, then again and again the largest that fits
         room, pattern = capacity, {}
-        left = dict()
+        left: dict[int, int] = {}
         while room:
             s = c.largest(room)
             while s and c.n[s] - left.get(s, 0) <= 0:
@@ -109,11 +109,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
             if not s:
                 break
             k = min(room // s, c.n[s] - left.get(s, 0)) if not pattern or room - s < s else 1
-            rest = room - k * s
-            # the last gap is filled exactly by one item where there is one
             left[s] = left.get(s, 0) + k
             pattern[s] = pattern.get(s, 0) + k
-            room = rest
+            room -= k * s
         emit(pattern, False)
     return out
 
