@@ -18,7 +18,7 @@ def import_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """Quoted cells, quotes doubled, a header per file."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", chr(34)).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def range_or_newest(df: DataFrame, at: str, key: str, start: str, end: str, newest: int = 500) -> DataFrame:
