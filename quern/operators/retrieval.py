@@ -21,7 +21,7 @@ def top_k(questions: DataFrame, vectors: DataFrame, k: int, question: str = "que
     asked = F.broadcast(questions.limit(QUESTIONS))
     scored = vectors.join(asked, F.lit(True)).select(question, key, F.round(cosine(F.col("q"), F.col("v")), 9).alias("score"))
     w = Window.partitionBy(question).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def dominant(hits: DataFrame, group: str = "question_id", of: str = "kb_id", top: int = 1) -> DataFrame:
@@ -79,4 +79,4 @@ def full_text(index: DataFrame, n_docs: DataFrame, queries: DataFrame, key: str,
     hits = postings.join(F.broadcast(asked), "term").join(F.broadcast(idf), "term")
     scores = hits.groupBy("query_id", key).agg(F.round(F.sum(F.col("tf") * F.col("idf") * F.col("idf")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))

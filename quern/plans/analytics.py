@@ -28,8 +28,19 @@ _IN = lambda c, ws: "(" + " or ".join(f"contains(lower({c}), '{w}')" for w in ws
 QUERIES, ORACLE = {}, {}
 
 
+def _counts(sql: str) -> str:
+    """count_if(x) as a 64-bit count."""
+    while (a := sql.find("count_if(")) >= 0:
+        depth, b = 1, a + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[b], 0)
+            b += 1
+        sql = f"{sql[:a]}count(case when {sql[a + len('count_if('):b - 1]} then 1 end){sql[b:]}"
+    return sql
+
+
 def _add(name: str, f, sql: str) -> None:  # noqa: ANN001
-    QUERIES[name], ORACLE[name] = f, sql
+    QUERIES[name], ORACLE[name] = f, _counts(sql)
 
 
 _add("a_hourly", lambda s, d: A.hourly(table(s, d, "messages"), "created_at", AS_OF), _hour("messages", "created_at", AS_OF, 7))

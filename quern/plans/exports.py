@@ -28,7 +28,8 @@ ORACLE["kb_json_export"] = "select id, title, category, language from knowledge_
 QUERIES["feedback_csv_export"] = _csv_round_trip
 ORACLE["feedback_csv_export"] = r"select id, feedback_type, md5(trim(regexp_replace(coalesce(message_content, ''), '[\r\n]+', ' ', 'g'))) as hash from chat_feedback"
 QUERIES["feedback_export_range"] = lambda s, d: range_or_newest(table(s, d, "chat_feedback").select("id", "created_at", "feedback_type").distinct(), "created_at", "id", "2025-02-01", "2025-03-01").select("id", "feedback_type")
-ORACLE["feedback_export_range"] = "select distinct id, feedback_type from chat_feedback where created_at between timestamp '2025-02-01' and timestamp '2025-03-01'"
+ORACLE["feedback_export_range"] = """with f as (select distinct id, feedback_type, created_at from chat_feedback), r as (select id, feedback_type from f where created_at between timestamp '2025-02-01' and timestamp '2025-03-01')
+select * from r union all select * from (select id, feedback_type from f where not exists (select 1 from r) order by created_at desc, id desc limit 500)"""
 QUERIES["feedback_export_fallback"] = lambda s, d: range_or_newest(table(s, d, "chat_feedback").select("id", "created_at", "feedback_type").distinct(), "created_at", "id", "1999-02-01", "1999-03-01", 500).select("id", "feedback_type")
 ORACLE["feedback_export_fallback"] = "select id, feedback_type from (select distinct id, feedback_type, created_at from chat_feedback) order by created_at desc, id desc limit 500"
 QUERIES["st_tumbling"] = lambda s, d: tumbling_counts(table(s, d, "events"), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -106,7 +106,8 @@ _add(
 _add(
     "set_first_tier",
     lambda s, d: R.first_nonempty([_b(s, d, "title = 'no such title'"), _b(s, d, "contains(lower(title), 'zəkat')"), _b(s, d, "true")]),
-    "select id, title, 2 as tier from knowledge_base where contains(lower(title), 'zəkat')",
+    """with t as (select id, title, 2 as tier from knowledge_base where contains(lower(title), 'zəkat') union all select id, title, 3 from knowledge_base)
+    select * from t where tier = (select min(tier) from t)""",
 )
 _add("set_map_merge", lambda s, d: table(s, d, "events").select("event_id", F.to_json(F.map_from_entries(F.map_entries(F.map_zip_with(F.from_json("props", "map<string,bigint>"), F.create_map(F.lit("seen"), F.lit(1).cast("bigint")), lambda k, a, b: F.coalesce(b, a))))).alias("x")).select("event_id", F.get_json_object("x", "$.seen").cast("bigint").alias("seen"), F.get_json_object("x", "$.k").cast("bigint").alias("k")), "select event_id, cast(1 as bigint) as seen, cast(json_extract(props, '$.k') as bigint) as k from events")
 # 2.11 keyed writes
