@@ -203,7 +203,7 @@ def conversations(slices: DataFrame, messages: DataFrame) -> DataFrame:
     )
     name = F.when(F.col("t.speaker") == USER, "user").otherwise("assistant")
     kept = kept.select(
-        "chat_session_id", "slice", F.row_number().over(order).alias("turn_no"), F.col("t.id").alias("message_id"), name.alias("speaker"), F.col("t.at").alias("at")
+        "chat_session_id", "slice", F.row_number().over(order).cast("bigint").alias("turn_no"), F.col("t.id").alias("message_id"), name.alias("speaker"), F.col("t.at").alias("at")
     )
     texts = messages.where("id is not null").select(F.col("id").alias("message_id"), "content").groupBy("message_id").agg(F.first("content").alias("content"))
     return kept.join(texts, "message_id").select("chat_session_id", "slice", "turn_no", "message_id", "speaker", "content", "at")
