@@ -31,7 +31,7 @@ _clean = "content"
 for _tag in H.DROPPED:
     _clean = rf"regexp_replace({_clean}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}>', ' ', 'g')"
 _clean = rf"trim(regexp_replace(regexp_replace(regexp_replace({_UN.format(_clean)}, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r]+', ' ', 'g'), '\s*\n\s*', E'\n', 'g'))"
-_add("h_clean", lambda s, d: _kb(s, d).select("id", F.md5(H.clean_text(F.col("content"))).alias("hash")), f"select id, md5({_clean}) as hash from knowledge_base where not regexp_matches(content, '(?i)class=[^>]*(menu|navigation|sidebar)') or true")
+_add("h_clean", lambda s, d: _kb(s, d).select("id", F.md5(H.clean_text(F.col("content"))).alias("hash")), f"select id, md5({_clean}) as hash from knowledge_base")
 _add("h_title", lambda s, d: _kb(s, d).select("id", H.title(F.col("content"), F.col("source_url")).alias("title")))
 _add("h_meta", lambda s, d: _kb(s, d).select("id", H.meta(F.col("content"), "description").alias("description"), H.charset(F.col("content")).alias("charset"), H.host(F.col("source_url")).alias("host")))
 _HOST = r"regexp_replace(lower(nullif(regexp_extract(trim(source_url), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1), '')), '^www\.', '')"
@@ -45,7 +45,7 @@ _add("scope_filter", lambda s, d: _pages(s, d).select("id", H.in_scope(F.trim("s
 
 def _edges(s, d):  # noqa: ANN001, ANN202
     """Orders link parts to suppliers: a graph that grows with the tables."""
-    li = table(s, d, "lineitem").select((F.col("l_partkey") % 500).alias("p"), (F.col("l_suppkey") % 500 + 1000).alias("q")).where("l_orderkey % 7 = 0" if False else "true")
+    li = table(s, d, "lineitem").select((F.col("l_partkey") % 500).alias("p"), (F.col("l_suppkey") % 500 + 1000).alias("q"))
     return li.select(F.col("p").alias("src"), F.col("q").alias("dst")).distinct().unionByName(li.select(F.col("q").alias("src"), (F.col("p") + 1).alias("dst")).distinct()).distinct()
 
 
