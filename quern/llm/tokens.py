@@ -16,6 +16,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.let import let
 from quern.operators.skew import hot_keys, merge_join
 from quern.sources import table, write_and_read
 
@@ -48,9 +49,13 @@ def _rank_json(path: str) -> str:
     return json.dumps(buckets, separators=(",", ":"))
 
 
-def rank_of(token: Column, path: str) -> Column:
+def rank_map(path: str) -> Column:
+    """The literal rank map: an array of maps, the place of a token by its checksum."""
+    return F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
+
+
+def rank_of(token: Column, buckets: Column) -> Column:
     """The rank of a token given by its hexadecimal digits; null if it is none."""
-    buckets = F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
     return F.try_element_at(F.get(buckets, (F.crc32(token.cast("binary")) % BUCKETS).cast("int")), token)
 
 
@@ -59,7 +64,7 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def merge_bytes(word: Column, path: str) -> Column:
+def merge_bytes(word: Column, buckets: Column) -> Column:
     """The tokens (hexadecimal digits) of a word by ranked merges.
 
     The state of the fold holds the tokens and the rank of each neighbouring pair; a step joins the leftmost pair of the lowest rank and
@@ -71,14 +76,14 @@ def merge_bytes(word: Column, path: str) -> Column:
     none = F.lit(None).cast("int")
 
     def pairs(t: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: rank_of(F.concat(F.get(t, i), F.get(t, i + 1)), path))
+        return F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: rank_of(F.concat(F.get(t, i), F.get(t, i + 1)), buckets))
 
     def step(acc: Column, _: Column) -> Column:
         t, r = acc["t"], acc["r"]
         i = F.array_position(r, F.array_min(r)).cast("int")  # the pair of the tokens i and i + 1, from 1
         joint = F.concat(F.get(t, i - 1), F.get(t, i))
-        left = F.when(i > 1, F.array(rank_of(F.concat(F.get(t, i - 2), joint), path))).otherwise(F.array().cast("array<int>"))
-        right = F.when(i < F.size(r), F.array(rank_of(F.concat(joint, F.get(t, i + 1)), path))).otherwise(F.array().cast("array<int>"))
+        left = F.when(i > 1, F.array(rank_of(F.concat(F.get(t, i - 2), joint), buckets))).otherwise(F.array().cast("array<int>"))
+        right = F.when(i < F.size(r), F.array(rank_of(F.concat(joint, F.get(t, i + 1)), buckets))).otherwise(F.array().cast("array<int>"))
         merged = F.struct(
             F.concat(F.slice(t, F.lit(1), i - 1), F.array(joint), F.slice(t, i + 2, F.size(t))).alias("t"),
             F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r))).alias("r"),
@@ -90,10 +95,14 @@ def merge_bytes(word: Column, path: str) -> Column:
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word) -> (word, ids): a word that is a token by itself, else its merged bytes."""
-    whole = rank_of(F.hex(F.encode("word", "UTF-8")), path)
-    split = F.transform(merge_bytes(F.col("word"), path), lambda t: rank_of(t, path))
-    return words.withColumn("whole", whole).select("word", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(split).alias("ids"))
+    """(word) -> (word, ids): a word that is a token by itself, else its merged bytes. The rank map stands in the plan once."""
+
+    def ids(buckets: Column) -> Column:
+        whole = rank_of(F.hex(F.encode("word", "UTF-8")), buckets)
+        split = F.transform(merge_bytes(F.col("word"), buckets), lambda t: rank_of(t, buckets))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(split)
+
+    return words.select("word", let(rank_map(path), ids).alias("ids"))
 
 
 def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
