@@ -97,11 +97,28 @@ def keep_if_any(df: DataFrame, condition: Column, group: Sequence[str]) -> DataF
     return flagged.withColumn("_any", F.max("_ok").over(w)).where(F.col("_ok") | ~F.col("_any")).drop("_ok", "_any")
 
 
-def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], size: Column, budget: float, crossing: bool = True) -> DataFrame:
-    """Rows of each group in order while the sum of SIZE before a row is below BUDGET; without CROSSING the row must fit itself, and the first that doesn't ends it."""
-    w = Window.partitionBy(*group).orderBy(*order)
+def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], size: Column, budget: float, crossing: bool = True, block: Column | None = None) -> DataFrame:
+    """Rows of each group in order while the sum of SIZE before a row is below BUDGET; without CROSSING the row must fit itself, and the first that doesn't ends it.
+
+    BLOCK never falls along ORDER. With it no task sorts a whole group: sizes are summed per block before the shuffle, blocks behind the
+    budget are left out, and the running sum goes on within each block that is left. SIZE is not negative.
+    """
+    base = F.lit(0)
+    by = list(group)
+    if block is not None:
+        df = df.withColumn("_k", block)
+        sums = df.groupBy(*group, "_k").agg(F.sum(size).alias("_s"))
+        ahead = F.sum("_s").over(Window.partitionBy(*group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.withColumn("_a", F.coalesce(ahead, F.lit(0)))
+        sums = sums.where(F.col("_a") < budget if crossing else F.col("_a") <= budget).select(*[F.col(g).alias(f"_{i}") for i, g in enumerate(group)], F.col("_k").alias("_j"), "_a")
+        same = F.col("_k").eqNullSafe(F.col("_j"))
+        for i, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"_{i}"))
+        df = df.join(sums, same).drop("_j", *[f"_{i}" for i in range(len(by))])
+        base, by = F.col("_a"), [*by, "_k"]
+    w = Window.partitionBy(*by).orderBy(*order)
     before = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1))
     if crossing:
-        return df.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") < budget).drop("_b")
+        return df.withColumn("_b", F.coalesce(before, F.lit(0)) + base).where(F.col("_b") < budget).drop("_b", "_k", "_a")
     upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_u", upto).where(F.col("_u") <= budget).drop("_u")
+    return df.withColumn("_u", upto + base).where(F.col("_u") <= budget).drop("_u", "_k", "_a")

@@ -10,6 +10,8 @@ from quern.functions.vectors import cosine
 
 #: Most questions that are broadcast against all vectors at once.
 QUESTIONS = 1000
+#: Most keys in one piece of a context.
+PIECE = 1000
 
 
 def top_k(questions: DataFrame, vectors: DataFrame, k: int, question: str = "question_id", key: str = "vec_id") -> DataFrame:
@@ -37,6 +39,12 @@ def context(rows: DataFrame, group: str, order: str, text: str, between: str = "
     return rows.groupBy(group).agg(F.array_join(F.transform(parts, lambda x: x["t"]), between).alias("context"))
 
 
+def context_pieces(rows: DataFrame, group: str, order: str, text: str, piece: int = PIECE) -> DataFrame:
+    """(group, piece, context): context() in pieces of PIECE keys each, which follow each other by their number; no group is collected whole."""
+    cut = rows.withColumn("piece", F.expr(f"{order} div {piece}")).withColumn("_g", F.struct(group, "piece"))
+    return context(cut, "_g", order, text).select(f"_g.{group}", "_g.piece", "context")
+
+
 def neighbours(chunks: DataFrame, document: str, order: str, text: str) -> DataFrame:
     """CHUNKS with the text before and behind each in its document (before, behind)."""
     w = Window.partitionBy(document).orderBy(order)

@@ -51,9 +51,9 @@ _add(
 )
 
 
-def _continue(s, d):  # noqa: ANN001, ANN202
+def _continue(s, d, sessions="chat_session_id > 1"):  # noqa: ANN001, ANN202
     """After the third row of each conversation the next twelve, until 240 characters are passed."""
-    m = table(s, d, "messages").where("chat_session_id > 1 and content is not null").distinct()
+    m = table(s, d, "messages").where(f"{sessions} and content is not null").distinct()
     w = Window.partitionBy("chat_session_id").orderBy("created_at", "id")
     rows = m.withColumn("n", F.row_number().over(w)).where("n > 3 and n <= 15")
     return R.within_budget(rows, ["chat_session_id"], ["n"], F.length("content") + 1, 240).select("chat_session_id", "id", F.col("n").cast("bigint").alias("n"))
@@ -65,6 +65,12 @@ _add(
     b as (select *, sum(length(content) + 1) over (partition by chat_session_id order by n rows between unbounded preceding and 1 preceding) used from r where n > 3 and n <= 15)
     select chat_session_id, id, n from b where coalesce(used, 0) < 240""",
 )
+_add(
+    "r_continue_all", lambda s, d: _continue(s, d, "chat_session_id is not null"),
+    """with r as (select *, row_number() over (partition by chat_session_id order by created_at, id) n from (select distinct * from messages where chat_session_id is not null and content is not null)),
+    b as (select *, sum(length(content) + 1) over (partition by chat_session_id order by n rows between unbounded preceding and 1 preceding) used from r where n > 3 and n <= 15)
+    select chat_session_id, id, n from b where coalesce(used, 0) < 240""",
+)
 _CONCEPTS = ["dəstəmaz", "namaz", "oruc", "zəkat", "həcc", "qiblə"]
 _add("t_key_concept", lambda s, d: table(s, d, "messages").where("content is not null").select("id", F.get(F.filter(F.array(*map(F.lit, _CONCEPTS)), lambda k: F.lower("content").contains(k)), F.lit(0)).alias("concept")).groupBy("concept").agg(F.count("*").alias("n")), "select case " + " ".join(f"when contains(lower(content), '{k}') then '{k}'" for k in _CONCEPTS) + " end as concept, count(*) as n from messages where content is not null group by 1")
 _add("t_term_bold", lambda s, d: table(s, d, "messages").where("content is not null").select("id", F.md5(F.regexp_replace("content", r"(?i)(^|[^\p{L}\p{N}_])(namaz|token)([^\p{L}\p{N}_]|$)", "$1**$2**$3")).alias("hash")), r"select id, md5(regexp_replace(content, '(?i)(^|[^\p{L}\p{N}_])(namaz|token)([^\p{L}\p{N}_]|$)', '\1**\2**\3', 'g')) as hash from messages where content is not null")

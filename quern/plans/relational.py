@@ -55,6 +55,7 @@ _add("p_source_type", lambda s, d: table(s, d, "knowledge_base").select("id", F.
 _add("j_with_count", lambda s, d: R.with_count(sessions(s, d).select("id"), "id", table(s, d, "messages"), "chat_session_id", "messages"), f"select c.id, count(m.id) as messages from {_SESSIONS} c left join messages m on m.chat_session_id = c.id group by 1")
 _add("j_eager_nto1", lambda s, d: table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name"), "select c_custkey, n_name from customer left join nation on c_nationkey = n_nationkey")
 _add("j_eager_1ton", lambda s, d: table(s, d, "orders").where("o_orderkey <= 500000").join(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda x: x.cast("string")), ",").alias("lines")), "o_orderkey", "left").select("o_orderkey", "lines"), "select o_orderkey, string_agg(l_linenumber, ',' order by l_linenumber) as lines from orders left join lineitem on l_orderkey = o_orderkey where o_orderkey <= 500000 group by 1")
+_add("j_eager_1ton_all", lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda x: x.cast("string")), ",").alias("lines")), "o_orderkey", "left").select("o_orderkey", "lines"), "select o_orderkey, string_agg(l_linenumber, ',' order by l_linenumber) as lines from orders left join lineitem on l_orderkey = o_orderkey group by 1")
 _add("j_user_limits", lambda s, d: R.page(table(s, d, "customer").join(table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("most")), "c_custkey", "left").select("c_custkey", "c_name", "most"), [F.desc_nulls_last("most"), "c_custkey"], 2, 15), "select c_custkey, c_name, max(o_totalprice) as most from customer left join orders on o_custkey = c_custkey group by 1, 2 order by most desc nulls last, c_custkey limit 15 offset 15")
 _add("j_orphans", lambda s, d: table(s, d, "messages").where("chat_session_id is not null").join(table(s, d, "chat_sessions").select(F.col("id").alias("chat_session_id")).distinct(), "chat_session_id", "left_anti").select("id"), "select m.id from messages m left join chat_sessions c on c.id = m.chat_session_id where m.chat_session_id is not null and c.id is null")
 _add("j_semi_search", lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").where("o_orderstatus = 'P' or c_mktsegment = 'BUILDING'").select("o_orderkey"), "select o_orderkey from orders left join customer on o_custkey = c_custkey where o_orderstatus = 'P' or c_mktsegment = 'BUILDING'")

@@ -2,6 +2,7 @@ from datetime import datetime as D
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from quern.operators import analytics as A
 from quern.operators import relational as R
 from quern.operators.crawl import reach
@@ -60,6 +61,29 @@ def test_budget(spark):
     assert R.within_budget(df, ["g"], ["i"], F.col("n"), 25, crossing=False).count() == 2
 
 
+def test_budget_in_blocks_keeps_the_hot_group(spark):
+    df = spark.createDataFrame([(g, i, i % 4) for g in (1, 2, None) for i in range(40)] + [(3, None, 5), (3, 1, 9)], "g int, i int, n int")
+    for crossing in (True, False):
+        want = R.within_budget(df, ["g"], ["i"], F.col("n"), 21, crossing)
+        got = R.within_budget(df, ["g"], ["i"], F.col("n"), 21, crossing, F.expr("i div 6"))
+        assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert {r.g for r in got.collect()} == {1, 2, 3, None}
+
+
+def test_queries_over_all_sessions_and_orders(spark, tmp_path):
+    t = lambda n: D(2024, 1, 1 + n // 24, n % 24)
+    rows = [(i, 1 if i <= 1500 else 2, t(i // 10), "user", f"text {i % 7}") for i in range(1, 1521)]
+    spark.createDataFrame(rows, "id bigint, chat_session_id bigint, created_at timestamp, role string, content string").write.parquet(f"{tmp_path}/messages.parquet")
+    q = queries()
+    for name, n in (("w_running_budget_all", 29 + 20), ("w_greedy_budget_all", 50 + 20), ("r_continue_all", 12 + 12)):
+        assert q[name](spark, str(tmp_path)).count() == n, name
+    pieces = q["r_context_pieces"](spark, str(tmp_path)).collect()
+    assert sorted((r.chat_session_id, r.piece) for r in pieces) == [(1, 0), (1, 1), (2, 1)]
+    spark.createDataFrame([(7,), (600_001,)], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(600_001, 2), (600_001, 1)], "l_orderkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, q["j_eager_1ton_all"](spark, str(tmp_path)).collect())) == [(7, None), (600_001, "1,2")]
+
+
 def test_reach_with_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (None, 5)], "src bigint, dst bigint")
     got = reach(edges, spark.createDataFrame([(1,)], "node bigint"), 2)
