@@ -19,8 +19,8 @@ from quern.sources import table, write_and_read
 
 #: Share of a document's sentences that make a subject.
 FIFTH = 0.2
-#: Most labelled documents, and most documents that a round labels, from which rules are mined (by the hash of the id).
-LABELLED, RELABELLED = 30_000, 30_000
+#: Most hand-labelled documents from which rules are mined (by the hash of the id). Further rounds label and mine all documents.
+LABELLED = 30_000
 #: Rounds of mining after the first.
 ROUNDS = 2
 #: A rule rests on so many sentences at least, and on this share of all.
@@ -141,14 +141,13 @@ def by_document(decided: DataFrame) -> DataFrame:
 
 
 def fit_rules(found: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    """The rules after all rounds."""
+    """The rules after all rounds. FOUND is read several times."""
     rules = mine(found, _bounded(clean_labels(labels, subjects), LABELLED), 3)
-    pool = write_and_read(found.join(_bounded(found.select("doc_id").distinct(), RELABELLED), "doc_id", "left_semi"), "pool")
     for _ in range(ROUNDS):
-        counts = decide(pool, rules).groupBy("doc_id", "subject").agg(F.count("*").alias("n"), F.max("n_sentences").alias("of"))
+        counts = decide(found, rules).groupBy("doc_id", "subject").agg(F.count("*").alias("n"), F.max("n_sentences").alias("of"))
         counts = counts.withColumn("decided", F.sum("n").over(Window.partitionBy("doc_id")))
         sure = counts.where("n >= 0.75 * decided and n >= 0.3 * of and (n >= 2 or of = 1)").select("doc_id", "subject")
-        rules = mine(pool, write_and_read(sure, "relabelled"))
+        rules = mine(found, write_and_read(sure, "relabelled"))
     return rules
 
 

@@ -92,6 +92,17 @@ def test_subjects_held_out(spark):
     assert not {1000, 1001, 1002} & set(got)
 
 
+def test_further_rounds_take_every_document(spark, monkeypatch):
+    monkeypatch.setattr(S, "RELABELLED", 5, raising=False)
+    seen, mine = [], S.mine
+    monkeypatch.setattr(S, "mine", lambda found, *rest: seen.append(found.select("doc_id").distinct().count()) or mine(found, *rest))
+    words = ["çörək pilav", "futbol turnir"]
+    d = spark.createDataFrame([(i, f"{words[i % 2]} sözü var. {words[i % 2]} olur.") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, ("food", "sport")[i % 2]) for i in range(10)], "doc_id bigint, subject string")
+    S.fit_rules(S.sentences(d), labels, spark.createDataFrame([("food",), ("sport",)], "subject string"))
+    assert seen == [40] * (1 + S.ROUNDS)
+
+
 def test_subjects_without_labels(spark):
     d = spark.createDataFrame([(1, "Bir söz.")], "doc_id bigint, text string")
     areas = spark.createDataFrame([("food",)], "subject string")
