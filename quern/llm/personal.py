@@ -65,13 +65,16 @@ _STREET = {
     "ru": r"(?:улица|ул\.|проспект|просп\.|пр-т|пр\.|переулок|пер\.|бульвар|б-р|шоссе|набережная|наб\.)",
     "en": r"(?:street|st\.|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr\.|court|close|terrace|hill|way|row|square|boulevard)",
 }
-#: A text without any of this has no proposal.
-PROPOSALS = (
-    r"@|\(at\)|\[at\]|[0-9][0-9 ().№/-]{4,}[0-9]|" + _ID_BEFORE + "|"
-    + "|".join(re.escape(w) for ws in (*_BEFORE.values(), *_AFTER.values()) for w in ws if w not in ("men", "ben", "это", "salam,", "merhaba,", "hello,", "this is", "i am", "здравствуйте,", "adim"))
-    + "|" + r"(?:kucesi|kuc\.|prospekti|dongesi|caddesi|cad\.|sokagi|sokak|sok\.|улица|ул\.|проспект|пр-т|пр\.|переулок|пер\.|бульвар|шоссе)"
-    + r"|[0-9][a-z]? [a-z' ]{3,30} (?:street|st\.|road|rd|avenue|ave|lane|drive|court|close|terrace|way|row|square)"
-)
+_WEAK = 0.2
+#: A folded text has no proposal unless it has one of these, or a known name part beside WEAK_PROPOSALS. Each alternation is that of find() or
+#: a wider one; in the JVM they are read with (?U), so that digits and white space are those of Python.
+PROPOSALS = "|".join([
+    r"@|at[)\]]|\d[\d ().-]{6,18}\d|aze ?\d{8}|aa ?№ ?\d{7}|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3}", _ID_BEFORE,
+    *[re.escape(w) + r" \S" for s, ws in _BEFORE.items() if s > _WEAK for w in ws], *[re.escape(w) for ws in _AFTER.values() for w in ws],
+    rf" (?:{_STREET['az']}|{_STREET['tr']}),? \S", _STREET["ru"], rf"\d[a-z]? \S+(?: \S+)? {_STREET['en']}",
+])
+#: A weak word before a name, or a line of one or two words.
+WEAK_PROPOSALS = "|".join([*[re.escape(w) + r" \S" for w in _BEFORE[_WEAK]], r"(?:^|\n)[ \t]*(?:\S\. ?)?[^\s.]+(?: [^\s.]+)?[ \t]*(?:\n|$)"])
 
 _AT = r"(?: ?@ ?| ?[\[(] ?at ?[\])] ?)"
 _DOT = r"(?:\.| ?[\[(] ?dot ?[\])] ?)"
@@ -306,7 +309,10 @@ def personal_spans(texts: DataFrame, parts: set[str], prefilter: bool = True) ->
     """
     wanted = texts.where(F.col("text").isNotNull() & (F.col("text") != ""))
     if prefilter:
-        wanted = wanted.where((F.col("field") == "user_name") | folded(F.col("text")).rlike(PROPOSALS))
+        f = folded(F.col("text"))
+        words = F.regexp_extract_all(F.regexp_replace(f, "\u0307", ""), F.lit(r"\p{L}+(?:['’-]\p{L}*)*"), F.lit(0))
+        weak = f.rlike(f"(?U){WEAK_PROPOSALS}") & F.exists(words, lambda w: w.isin(sorted(parts))) if parts else F.lit(False)
+        wanted = wanted.where((F.col("field") == "user_name") | f.rlike(f"(?U){PROPOSALS}") | weak)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
