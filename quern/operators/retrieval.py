@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import search_form
 from quern.functions.vectors import cosine
+from quern.sources import write_and_read
 
-#: Most questions that are broadcast against all vectors at once.
+#: Questions that are broadcast against all vectors at once, about; more go in several blocks.
 QUESTIONS = 1000
 #: Most keys in one piece of a context.
 PIECE = 1000
@@ -17,11 +18,22 @@ PIECE = 1000
 def top_k(questions: DataFrame, vectors: DataFrame, k: int, question: str = "question_id", key: str = "vec_id") -> DataFrame:
     """(QUESTION, KEY, score, rank): the K most similar vectors of each question, by exact cosine; the smaller key wins ties.
 
-    QUESTIONS (question, q) is a stated set of at most QUESTIONS vectors, which is broadcast; VECTORS (KEY, v) stay where they are. Each task keeps
-    the best K of every question before anything is shuffled (the window's group limit), so what moves is K rows per question and task.
+    QUESTIONS (question, q) are divided by their hash into blocks of about QUESTIONS vectors; one block after the other is broadcast; VECTORS (KEY, v)
+    stay where they are. Each task keeps the best K of every question before anything is shuffled (the window's group limit), so what moves is K rows per question and task.
     """
-    asked = F.broadcast(questions.limit(QUESTIONS))
-    scored = vectors.join(asked, F.lit(True)).select(question, key, F.round(cosine(F.col("q"), F.col("v")), 9).alias("score"))
+    blocks = max(1, -(-questions.count() // QUESTIONS))
+    if blocks == 1:
+        return _top_k(questions, vectors, k, question, key)
+    out = None
+    for i in range(blocks):
+        best = _top_k(questions.where(F.pmod(F.xxhash64(question), F.lit(blocks)) == i), vectors, k, question, key)
+        best = write_and_read(best, f"top{i}")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def _top_k(questions: DataFrame, vectors: DataFrame, k: int, question: str, key: str) -> DataFrame:
+    scored = vectors.join(F.broadcast(questions), F.lit(True)).select(question, key, F.round(cosine(F.col("q"), F.col("v")), 9).alias("score"))
     w = Window.partitionBy(question).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -81,10 +93,10 @@ def full_text(index: DataFrame, n_docs: DataFrame, queries: DataFrame, key: str,
     QUERIES (query_id, term) restrict the index before it is scored, so only postings of asked words are shuffled.
     """
     asked = queries.where("term is not null").distinct()
-    postings = index.join(F.broadcast(asked.select("term").distinct().limit(100_000)), "term", "left_semi")
+    postings = index.join(asked.select("term"), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(n_docs), F.lit(True)).select("term", F.log10(F.col("n_docs") / F.col("df")).alias("idf"))
-    hits = postings.join(F.broadcast(asked), "term").join(F.broadcast(idf), "term")
+    hits = postings.join(asked, "term").join(idf, "term")
     scores = hits.groupBy("query_id", key).agg(F.round(F.sum(F.col("tf") * F.col("idf") * F.col("idf")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))

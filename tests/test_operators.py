@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from quern.operators import analytics as A
 from quern.operators import relational as R
+from quern.operators import retrieval as Q
 from quern.operators.crawl import reach
 from quern.sources.sinks import error_lines, range_or_newest
 
@@ -84,6 +85,22 @@ def test_queries_over_all_sessions_and_orders(spark, tmp_path):
     assert sorted(map(tuple, q["j_eager_1ton_all"](spark, str(tmp_path)).collect())) == [(7, None), (600_001, "1,2")]
 
 
+def test_more_questions_than_a_block(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i), 1.0, float(i * i % 7)]) for i in range(20)], "vec_id bigint, v array<double>")
+    asked = df.select(F.col("vec_id").alias("question_id"), F.col("v").alias("q"))
+    want = sorted(map(tuple, Q.top_k(asked, df, 2).collect()))
+    monkeypatch.setattr(Q, "QUESTIONS", 3)
+    assert sorted(map(tuple, Q.top_k(asked, df, 2).collect())) == want and len(want) == 40
+
+
+def test_more_terms_than_a_hundred_thousand(spark):
+    n = 100_500
+    index = spark.range(n).select(F.col("id").cast("string").alias("term"), "id", F.lit(1).alias("tf"))
+    asked = spark.range(n).select((F.col("id") % 10).alias("query_id"), F.col("id").cast("string").alias("term"))
+    got = Q.full_text(index, spark.range(1).select(F.lit(n).alias("n_docs")), asked, "id", n)
+    assert got.count() == n
+
+
 def test_reach_with_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (None, 5)], "src bigint, dst bigint")
     got = reach(edges, spark.createDataFrame([(1,)], "node bigint"), 2)
