@@ -56,6 +56,18 @@ _add(
     r as (select cast(3 as bigint) as node, 0 as depth union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 3) select node, min(depth) as depth from r group by 1""",
 )
 
+def _crawled(s, d, depth: int = 3):  # noqa: ANN001, ANN202
+    """(node, depth): addresses in scope of the base that links lead to from any page in scope, within DEPTH steps."""
+    pages = _pages(s, d).select("id", "source_url", "content")
+    address = H.absolute(F.trim("source_url"), F.trim("source_url"))
+    links = H.links(pages, "id", "source_url", "content").where(H.in_scope(F.col("link"), F.lit(_BASE)))
+    edges = links.join(pages.select("id", address.alias("src")), "id").select("src", F.col("link").alias("dst"))
+    start = pages.where(H.in_scope(F.trim("source_url"), F.lit(_BASE))).select(address.alias("node"))
+    return reach(write_and_read(edges, "edges"), start, depth)
+
+
+_add("crawl_pages", _crawled)
+
 # chunks
 def chunks(s, d, size: int = 1024, overlap: int = 200):  # noqa: ANN001, ANN201
     """(kb_id, chunk_index, content) of all pages."""

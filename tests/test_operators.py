@@ -107,6 +107,13 @@ def test_reach_with_cycle(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 1), (3, 2)]
 
 
+def test_crawl_follows_the_links_of_pages(spark, tmp_path):
+    u = "https://sual.nurqapi.example/yazi/"
+    rows = [(1, f"{u}a", f'<a href="{u}b">x</a> <a href="/other/z">x</a>'), (2, "https://sual.nurqapi.example/q", f'<a href="{u}far">x</a>')]
+    spark.createDataFrame(rows, "id bigint, source_url string, content string").write.parquet(f"{tmp_path}/knowledge_base.parquet")
+    assert sorted(map(tuple, queries()["crawl_pages"](spark, str(tmp_path)).collect())) == [(f"{u}a", 0), (f"{u}b", 1)]
+
+
 def test_export_fallback_and_log(spark, tmp_path):
     df = spark.createDataFrame([(1, D(2024, 1, 1)), (2, D(2024, 1, 2))], "id int, at timestamp")
     assert range_or_newest(df, "at", "id", "2024-01-02", "2024-01-03").count() == 1
