@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from quern.functions.let import let
 
-#: Texts are cut at so many characters before anything else.
-MOST_CHARS = 500_000
 #: Chunks of at most so many characters are left out, unless the text is one chunk.
 LEAST_CHARS = 50
 # What ends a sentence inside a chunk. The last three hold a backslash and an n, not a line end.
@@ -17,7 +15,7 @@ ENDS = [". ", "? ", "! ", r".\n", r"?\n", r"!\n"]
 
 def normalize(c: Column) -> Column:
     """White space runs as one space, no control characters, trimmed."""
-    t = F.regexp_replace(F.substring(c, 1, MOST_CHARS), r"\s{2,}", " ")
+    t = F.regexp_replace(c, r"\s{2,}", " ")
     return _trim(F.regexp_replace(t, "[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f]", ""))
 
 

@@ -119,7 +119,7 @@ _add("w_running_budget_all", lambda s, d: R.within_budget(_said(s, d), ["chat_se
 _add("w_greedy_budget_all", lambda s, d: R.within_budget(_said(s, d), ["chat_session_id"], [F.desc(F.length("content")), "id"], F.length("content"), 300, crossing=False, block=F.struct(-F.length("content"), F.expr(f"id div {Q.PIECE}"))).select("id"), f"select id from (select id, sum(length(content)) over (partition by chat_session_id order by length(content) desc, id rows unbounded preceding) u from {_SAID}) where u <= 300")
 _WEIGHTS = {"namaz": 8, "oruc": 3, "dua": 2}
 _add("r_wide", lambda s, d: Q.wide_extract(write_and_read(chunks(s, d, 400, 80), "chunks"), "kb_id", "chunk_index", "content", _WEIGHTS, 4, 1200).select("kb_id", F.length("extract").alias("chars"), F.md5("extract").alias("hash")))
-_add("r_intro", lambda s, d: Q.context(R.within_budget(write_and_read(chunks(s, d, 400, 80), "chunks").where("chunk_index < 20"), ["kb_id"], ["chunk_index"], F.length("content") + 1, 1400), "kb_id", "chunk_index", "content", "\n").select("kb_id", F.md5(trim_to_sentence(F.col("context"), 1400)).alias("hash")))
+_add("r_intro", lambda s, d: Q.context(R.within_budget(write_and_read(chunks(s, d, 400, 80), "chunks"), ["kb_id"], ["chunk_index"], F.length("content") + 1, 1400), "kb_id", "chunk_index", "content", "\n").select("kb_id", F.md5(trim_to_sentence(F.col("context"), 1400)).alias("hash")))
 
 
 def _asked(s, d):  # noqa: ANN001, ANN202

@@ -51,6 +51,11 @@ def test_chunks_match_brute_force(spark, size, overlap):
         assert got[i] == slow_chunks(t, size, overlap), repr(t[:80])
 
 
+def test_chunks_reach_the_end_of_a_long_text(spark):
+    t = "word " * 101_000 + "the very last words of all stand here and nowhere else in this text"
+    assert one(spark, C.chunk_list(F.col("t"), 5000, 100), "t string", t)[-1].content.endswith("else in this text")
+
+
 def test_chunk_null_and_sections(spark):
     assert one(spark, C.chunk_list(F.col("t")), "t string", None) is None
     text = "\n\n".join(["a" * 60, "b" * 70, "c" * 300, "d" * 55, "e"])
