@@ -192,10 +192,12 @@ def train(texts: list[str]) -> Model:
         p1 = single / max(single.sum(), 1)
         before = pairs.sum(1, keepdims=True)
         log = np.log((pairs + SMOOTH * p1[None, :]) / (before + SMOOTH) + floor[None, :])
-        if k:  # characters that the garbling leaves alone say nothing, next to each other
+        if k:  # characters that the garbling leaves alone but for their case say nothing, next to each other
             to = {c: PAIRS[k - 1].garble[0](c) for c in seen}
-            made = set().union(*(set(x) for c, x in to.items() if x != c))
-            same = np.array([False, *(to[c] == c and c not in made for c in seen)])
+            made = set().union(*(set(x) for c, x in to.items() if x.lower() != c.lower()))
+            # and one 8-bit alphabet read as another shows in its letters, not in bullets and quotes
+            mute = set() if PAIRS[k - 1].name.startswith(("utf-8", "lost", "cp1252")) else {c for c in seen if not c.isalpha() and not "\x7f" < c < "\xa0" and c != "�"}
+            same = np.array([False, *(c in mute or to[c] == c and c not in made for c in seen)])
             log = np.where(same[:, None] & same[None, :], clean, log)
         else:
             clean = log
@@ -270,22 +272,29 @@ def unescaped(text: str) -> str:
     return html.unescape(once) if "&" in once else once
 
 
-_SUSPECT = re.compile(SUSPECT)
+def _broken(text: str) -> bool:
+    return any(c == "�" or "\x80" <= c <= "\x9f" for c in text)
 
 
-def _best(text: str, pair: Pair) -> str:
-    """The inverse of the pair; if that leaves broken characters, of the pair that leaves fewest."""
-    broken = lambda s: 2 * sum(c == "�" or "\x80" <= c <= "\x9f" for c in s) + len(_SUSPECT.findall(s))
-    best = pair.restore(text)
-    if broken(best) and pair.name != "lost bytes":
-        best = min([best, *(p.restore(text) for p in PAIRS if p.name.startswith("utf-8"))], key=broken)
-    return best
+def _inverse(text: str, state: int, model: Model) -> str:
+    """The inverse transform of the span's state. Where that is impossible (it leaves broken characters though nothing was lost), the span
+    gets the likeliest state under the model among those whose inverse is possible; if there is none it stays with its own."""
+    own = PAIRS[state - 1].restore(text)
+    if not _broken(own) or "�" in text:
+        return own
+    x = model.columns(" " + text)
+    likely = model.log[x[:-1] * (len(model.index) + 1) + x[1:]].sum(0)
+    for k in np.argsort(-likely[1:]) + 1:
+        other = PAIRS[k - 1].restore(text)
+        if other != text and not _broken(other):
+            return other
+    return own
 
 
-def restored(text: str, path: np.ndarray) -> str:
+def restored(text: str, path: np.ndarray, model: Model) -> str:
     """Each garbled span by the inverse transform of its state."""
     cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(text)]
-    return "".join(text[i:j] if path[i] == 0 else _best(text[i:j], PAIRS[path[i] - 1]) for i, j in zip(cuts, cuts[1:]))
+    return "".join(text[i:j] if path[i] == 0 else _inverse(text[i:j], int(path[i]), model) for i, j in zip(cuts, cuts[1:]))
 
 
 def text_fields(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("messages", "knowledge_base", "chat_sessions")) -> DataFrame:
@@ -310,13 +319,15 @@ def fit(texts: DataFrame, messages: int = SAMPLE_MESSAGES, pages: int = SAMPLE_P
     return train([r.text for r in short.unionByName(long).collect()])
 
 
-def label(texts: DataFrame, model: Model) -> DataFrame:
+def label(texts: DataFrame, model: Model, prefilter: bool = True) -> DataFrame:
     """The garbled ones of TEXTS (src_table, rec_id, field, text): (src_table, rec_id, field, restored, pairs).
 
     pairs: the names of the encoding pairs found. Null and empty texts are never garbled. Rows stored twice come out once; if copies of
     a record differ, one of the garbled ones comes out. Texts may be of any length: each is labelled as a whole.
+    Without PREFILTER all texts go through the model; the result is the same (a test compares both on whole tables).
     """
-    suspects = texts.where(F.col("text").rlike(SUSPECT)).select("src_table", "rec_id", "field", "text")
+    wanted = F.col("text").rlike(SUSPECT) if prefilter else F.col("text").isNotNull()
+    suspects = texts.where(wanted).select("src_table", "rec_id", "field", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -324,9 +335,9 @@ def label(texts: DataFrame, model: Model) -> DataFrame:
             paths = viterbi(model, plain)
             hit = [i for i, p in enumerate(paths) if p is not None]
             g = f.iloc[hit][["src_table", "rec_id", "field"]].copy()
-            g["restored"] = [restored(plain[i], paths[i]) for i in hit]
-            g["pairs"] = [[PAIRS[k - 1].name for k in np.unique(paths[i]) if k] for i in hit]
-            yield g
+            g["restored"] = pd.Series([restored(plain[i], paths[i], model) for i in hit], dtype=object, index=g.index)
+            g["pairs"] = pd.Series([[PAIRS[k - 1].name for k in np.unique(paths[i]) if k] for i in hit], dtype=object, index=g.index)
+            yield g  # of object type even if the batch has no hit
 
     found = suspects.mapInPandas(run, "src_table string, rec_id bigint, field string, restored string, pairs array<string>")
     return found.groupBy("src_table", "rec_id", "field").agg(F.min(F.struct("restored", "pairs")).alias("r")).select(

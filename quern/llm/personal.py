@@ -319,8 +319,9 @@ def personal_spans(texts: DataFrame, parts: set[str], prefilter: bool = True) ->
             found = [find(t, parts, k) for t, k in zip(f["text"], f["field"])]
             hit = [i for i, s in enumerate(found) if s]
             g = f.iloc[hit].copy()
-            g["redacted"] = [redact(f["text"].iat[i], found[i]) for i in hit]
-            g["spans"] = [[{"start": a, "end": b, "kind": k, "score": float(s)} for a, b, k, s in found[i]] for i in hit]
+            g["redacted"] = pd.Series([redact(f["text"].iat[i], found[i]) for i in hit], dtype=object, index=g.index)
+            spans = [[{"start": a, "end": b, "kind": k, "score": float(s)} for a, b, k, s in found[i]] for i in hit]
+            g["spans"] = pd.Series(spans, dtype=object, index=g.index)  # of object type even if the batch has no hit
             yield g[["src_table", "rec_id", "field", "redacted", "spans"]]
 
     return wanted.select("src_table", "rec_id", "field", "text").mapInPandas(run, f"src_table string, rec_id bigint, field string, redacted string, spans {_SPANS}")

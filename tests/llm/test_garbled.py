@@ -20,7 +20,7 @@ def test_round_trip(model, pair):
     for t in CLEAN[:6]:
         bad = pair.garble[0](t)
         path = G.viterbi(model, [bad])[0]
-        assert path is not None and G.restored(bad, path) == t
+        assert path is not None and G.restored(bad, path, model) == t
 
 
 def test_cyrillic_pairs(model):
@@ -29,7 +29,7 @@ def test_cyrillic_pairs(model):
         bad = pair.garble[0](CLEAN[4])
         path = G.viterbi(model, [bad])[0]
         assert path is not None, name
-        assert sum(a == b for a, b in zip(G.restored(bad, path), CLEAN[4])) > 0.8 * len(CLEAN[4])
+        assert sum(a == b for a, b in zip(G.restored(bad, path, model), CLEAN[4])) > 0.8 * len(CLEAN[4])
 
 
 def test_clean_text_with_rare_letters(model):
@@ -40,13 +40,13 @@ def test_clean_text_with_rare_letters(model):
 def test_partly_garbled_and_lost(model):
     half = CLEAN[0][:40] + G.PAIRS[0].garble[0](CLEAN[0][40:])
     path = G.viterbi(model, [half])[0]
-    assert G.restored(half, path) == CLEAN[0] and (path[:20] == 0).all()
+    assert G.restored(half, path, model) == CLEAN[0] and (path[:20] == 0).all()
     assert G.viterbi(model, ["haqq�nda"])[0] is not None
 
 
 def test_long_text_is_labelled_whole(model):
     t = CLEAN[0] * 500 + G.PAIRS[0].garble[0](CLEAN[1])
-    assert G.restored(t, G.viterbi(model, [t])[0]) == CLEAN[0] * 500 + CLEAN[1]
+    assert G.restored(t, G.viterbi(model, [t])[0], model) == CLEAN[0] * 500 + CLEAN[1]
 
 
 def test_table(spark, model):
@@ -57,3 +57,30 @@ def test_table(spark, model):
     assert [(r.rec_id, r.restored) for r in got] == [(1, CLEAN[0])]
     assert G.label(spark.createDataFrame([], schema), model).count() == 0
     assert G.fit(spark.createDataFrame([], schema)).log.shape[1] == len(G.PAIRS) + 1
+
+
+SCHEMA = "src_table string, rec_id bigint, field string, text string"
+
+
+def test_batches_without_a_hit(spark, model):
+    rows = [("m", i, "content", f"São Côte naïve café {i}") for i in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert G.label(spark.createDataFrame(rows, SCHEMA), model).count() == 0
+        bad = G.PAIRS[0].garble[0](CLEAN[0])
+        assert G.label(spark.createDataFrame([*rows, ("m", 99, "content", bad)], SCHEMA), model).count() == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_prefilter_loses_nothing(spark):
+    texts = G.text_fields(spark, "/root/testdata/sf0.001")
+    model = G.fit(texts)
+    a, b = ({tuple(r)[:4] for r in G.label(texts, model, x).collect()} for x in (True, False))
+    assert a == b and a
+
+
+def test_impossible_inverse_takes_the_next_likely_state(model):
+    bad = "CafÃ© rÃ©sumÃ©"
+    latin = 1 + [p.name for p in G.PAIRS].index("utf-8 as koi8-r")
+    assert G._inverse(bad, latin, model) == "Café résumé"

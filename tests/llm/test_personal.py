@@ -67,3 +67,12 @@ def test_table(spark):
     assert P.personal_spans(spark.createDataFrame([], schema), PARTS).count() == 0
     users = spark.createDataFrame([("Orxan Daşqınlı",), ("Orxan Daşqınlı",), ("Qonaq",), (None,), ("x",)], "user_name string")
     assert P.name_parts(users) == {"orxan", "dasqinli"}
+
+
+def test_batches_without_a_hit(spark):
+    rows = [("messages", i, "content", f"call 12345-67 order {i}") for i in range(20)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert P.personal_spans(spark.createDataFrame(rows, "src_table string, rec_id bigint, field string, text string"), PARTS).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
