@@ -277,18 +277,17 @@ def _broken(text: str) -> bool:
 
 
 def _inverse(text: str, state: int, model: Model) -> str:
-    """The inverse transform of the span's state. Where that is impossible (it leaves broken characters though nothing was lost), the span
-    gets the likeliest state under the model among those whose inverse is possible; if there is none it stays with its own."""
+    """The inverse transform of the span's state. Where that leaves broken characters, a byte was lost or the span holds several ways of
+    garbling: then, of the inverses of the states for UTF-8, the one whose result the clean state finds likeliest."""
     own = PAIRS[state - 1].restore(text)
-    if not _broken(own) or "�" in text:
+    if not _broken(own) or not PAIRS[state - 1].name.startswith("utf-8"):
         return own
-    x = model.columns(" " + text)
-    likely = model.log[x[:-1] * (len(model.index) + 1) + x[1:]].sum(0)
-    for k in np.argsort(-likely[1:]) + 1:
-        other = PAIRS[k - 1].restore(text)
-        if other != text and not _broken(other):
-            return other
-    return own
+
+    def clean(x: str) -> float:
+        at = model.columns(f" {x} ")
+        return float(model.log[at[:-1] * (len(model.index) + 1) + at[1:], 0].sum()) + np.log(UNSEEN_BROKEN) * sum(map(_broken, x))
+
+    return max([own, *(p.restore(text) for p in PAIRS if p.name.startswith("utf-8"))], key=clean)
 
 
 def restored(text: str, path: np.ndarray, model: Model) -> str:
