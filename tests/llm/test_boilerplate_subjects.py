@@ -22,12 +22,52 @@ def lcs(a, b):
     return best[-1][-1]
 
 
-def test_align_is_a_largest_matching():
+def tree_size(a, b):
+    """The classic recursion, over all pairs of children."""
+    if a[0] != b[0]:
+        return 0
+    x, y = a[1], b[1]
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + tree_size(p, q))
+    return m[-1][-1] + 1
+
+
+def test_matching_is_the_largest():
     rng = random.Random(4)
-    for _ in range(60):
-        a, b = ([(rng.choice("abcd"), ()) for _ in range(rng.randint(0, 9))] for _ in range(2))
-        hit = B.align(a, b)
-        assert len(hit) == lcs([x[0] for x in a], [x[0] for x in b])
+    for _ in range(80):
+        leaf = lambda: (rng.choice("xyz"), ())
+        a, b = ([(rng.choice("abcd"), tuple(leaf() for _ in range(rng.randint(0, 4)))) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        size, pairs = B.matching(a, b)
+        assert size + 1 == tree_size(("r", tuple(a)), ("r", tuple(b))) == B.simple_tree_match(("r", tuple(a)), ("r", tuple(b)))
+        assert all(a[i][0] == b[j][0] for i, j in pairs) and pairs == sorted(pairs) and len({j for _, j in pairs}) == len(pairs)
+        flat = [[(n[0], ()) for n in t] for t in (a, b)]
+        assert B.matching(*flat)[0] == lcs(*[[n[0] for n in t] for t in flat])
+
+
+def test_tree_of_a_host_keeps_what_pages_share():
+    p = lambda *x: [(n, ()) for n in x]
+    tree = B.host_tree([p("nav", "a1", "foot"), p("nav", "a2", "ad", "foot"), [*p("nav", "b"), ("|", (("x", ()), ("y1", ()))), *p("ad", "foot")], [("|", (("x", ()), ("y2", ()))), *p("foot")]])
+    assert [n[0] for n in tree] == ["nav", "|", "ad", "foot"] or [n[0] for n in tree] == ["nav", "ad", "|", "ad", "foot"]
+    assert [n[1] for n in tree if n[0] == "|"][0] == (("x", ()),)
+
+
+def test_long_notices_and_long_slots(spark):
+    """A notice of over 300 characters and nine titles below a heading are furniture too."""
+    notice = "We keep data on your device to make this site work for all of its readers. " * 6
+    rng = random.Random(1)
+    rows, want = [], {}
+    word = lambda: "".join(rng.choice("abdegiklmnorstuz") for _ in range(8))
+    for i in range(40):
+        title = f"Page {word()} {word()}"
+        lines = ["Home | News | Contact", notice, title, f"{word()} {word()} {word()}. " * 5, "Most read:", *[f"Story {word()} {word()}" for _ in range(9)], f"{word()} {word()} {word()} ends here. " * 4, "Imprint and contact"]
+        rows.append((i, "https://www.site.example/p", title, "\n".join(lines)))
+        want[i] = {1, 2, 5, *range(6, 15), 16}
+    got = {}
+    for r in B.furniture(spark.createDataFrame(rows, PAGE)).collect():
+        got.setdefault(r.kb_id, set()).add(r.line_no)
+    assert sum(got[i] == w for i, w in want.items()) >= 38, [(got[i], w) for i, w in want.items() if got[i] != w][:2]
 
 
 PAGE = "kb_id bigint, url string, title string, content string"
