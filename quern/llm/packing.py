@@ -2,13 +2,13 @@
 
 Items of one size are interchangeable, so the instance is its histogram: at most as many sizes as a container has tokens, however many
 texts there are. On the histogram, counts and all, dominance after Martello and Toth fixes sets of items that no other filling can beat;
-best fit fills the containers of what is left. The result of that is a short table of patterns (so many containers, each
+best fit, the largest items first, fills the containers of what is left. The result of that is a short table of patterns (so many containers, each
 with so many items of these sizes). Texts are numbered within their size by distributed counts and find their container by a join.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -83,39 +83,66 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
         out.append((pattern, m, fixed))
 
     pair = lambda a, b: {a: 2} if a == b else {a: 1, b: 1}
-    for j in sorted(c.n, reverse=True):  # the reduction, from the largest size
-        while c.n.get(j, 0):
-            room = capacity - j
-            if c.smallest(j, 1) > room:
-                emit({j: 1}, True)  # nothing fits beside it
-                continue
-            k = c.largest(room)
-            if k == j and c.n[j] == 1:
-                k = c.largest(j - 1)
-            one = c.smallest(j, 2) > room  # at most one item fits beside it: the largest such dominates
-            exact = k == room  # no room is left
-            two = not one and not exact and c.smallest(j, 3) > room and k >= c.best_pair(room, j)  # it covers any pair
-            if k and (one or exact or two):
-                emit(pair(j, k), True)
-                continue
-            break
-    while c.sizes:  # best fit for the rest: the largest item, then again and again the largest that fits
-        room, pattern = capacity, {}
-        left: dict[int, int] = {}
-        while room:
-            s = c.largest(room)
-            while s and c.n[s] - left.get(s, 0) <= 0:
-                s = c.largest(s - 1)
-            if not s:
+    changed = True
+    while changed:  # what is fixed shrinks the instance, so that other sets may come to dominate
+        changed = False
+        for j in sorted(c.n, reverse=True):  # from the largest size
+            while c.n.get(j, 0):
+                room = capacity - j
+                if c.smallest(j, 1) > room:
+                    emit({j: 1}, True)  # nothing fits beside it
+                    changed = True
+                    continue
+                k = c.largest(room)
+                if k == j and c.n[j] == 1:
+                    k = c.largest(j - 1)
+                one = c.smallest(j, 2) > room  # at most one item fits beside it: the largest such dominates
+                exact = k == room  # no room is left
+                two = not one and not exact and c.smallest(j, 3) > room and k >= c.best_pair(room, j)  # it covers any pair
+                if k and (one or exact or two):
+                    emit(pair(j, k), True)
+                    changed = True
+                    continue
                 break
-            k = min(room // s, c.n[s] - left.get(s, 0)) if not pattern or room - s < s else 1
-            left[s] = left.get(s, 0) + k
-            pattern[s] = pattern.get(s, 0) + k
-            room -= k * s
-        emit(pattern, False)
+    out += [(pattern, m, False) for pattern, m in best_fit(c.n, capacity)]
     return out
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit, the largest items first: each goes where the least room is left that holds it. Equal containers are kept as one pattern."""
+    rooms: list[int] = []
+    open_: dict[int, list[tuple[dict[int, int], int]]] = {}
+
+    def put(room: int, pattern: dict[int, int], m: int) -> None:
+        if m:
+            if room not in open_:
+                insort(rooms, room)
+            open_.setdefault(room, []).append((pattern, m))
+
+    for s in sorted(counts, reverse=True):
+        n = counts[s]
+        while n:
+            i = bisect_left(rooms, s)
+            if i < len(rooms):
+                room = rooms[i]
+                pattern, m = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[i]
+            else:
+                room, pattern, m = capacity, {}, n
+            k = room // s  # a container that took one item now has the least room for the next of that size
+            full = min(m, n // k)
+            put(room - k * s, pattern | {s: k}, full)
+            n -= k * full
+            m -= full
+            if 0 < n < k and m:
+                put(room - n * s, pattern | {s: n}, 1)
+                n, m = 0, m - 1
+            if room < capacity:
+                put(room, pattern, m)
+    return [x for group in open_.values() for x in group]
+
+
 def _patterns(pdf: pd.DataFrame) -> pd.DataFrame:
     """The plan of one window as rows: (window_id, pattern, fixed, containers, first, size, each, rank)."""
     window, capacity = int(pdf["window_id"].iat[0]), int(pdf["capacity"].iat[0])

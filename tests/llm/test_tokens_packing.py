@@ -88,6 +88,48 @@ def test_pack(spark):
     assert not [r for r in rows if r.window_id in (3, 4)]
 
 
+def test_merge_branch_gives_the_same_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["Salam, necəsən? Salam!", "", None, "a " * 300, "Привет мир", "x" * 700])], "doc_id bigint, text string")
+    a = {r.doc_id: r.ids for r in T.encode(docs).collect()}
+    monkeypatch.setattr(T, "BROADCAST_WORDS", 0)
+    assert {r.doc_id: r.ids for r in T.encode(docs).collect()} == a and {r.doc_id: r.n_tokens for r in T.count_tokens(docs).collect()} == {k: len(v) for k, v in a.items()}
+
+
 def test_pack_empty(spark):
     windows = spark.createDataFrame([(1, 50)], "window_id int, capacity_tokens int")
     assert K.pack(spark.createDataFrame([], "doc_id bigint, n_tokens bigint"), windows)[0].count() == 0
+
+
+def test_best_fit_is_that_of_single_items():
+    rng = random.Random(3)
+    for _ in range(200):
+        cap = rng.randint(5, 60)
+        sizes = sorted((rng.randint(1, cap) for _ in range(rng.randint(1, 40))), reverse=True)
+        rooms = []
+        for s in sizes:
+            fit = [r for r in rooms if r >= s]
+            if fit:
+                rooms.remove(min(fit))
+            rooms.append((min(fit) if fit else cap) - s)
+        plan = K.best_fit({s: sizes.count(s) for s in sizes}, cap)
+        used = {}
+        for pattern, m in plan:
+            for s, k in pattern.items():
+                used[s] = used.get(s, 0) + k * m
+        assert used == {s: sizes.count(s) for s in sizes}
+        assert sorted(cap - sum(s * k for s, k in p.items()) for p, m in plan for _ in range(m)) == sorted(rooms)
+
+
+def test_many_different_sizes():
+    counts = {s: 1 + s % 3 for s in range(1, 20_000)}
+    plan = K.plan(counts, 20_000)
+    assert sum(m for _, m, _ in plan) <= 1.02 * -(-sum(s * n for s, n in counts.items()) // 20_000) + 1
+
+
+def test_report(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.randint(1, 700)) for i in range(400)], "doc_id bigint, n_tokens bigint")
+    windows = spark.createDataFrame([(1, 256), (2, 512)], "window_id int, capacity_tokens int")
+    total = df.groupBy().sum("n_tokens").first()[0]
+    for r in K.report(K.pack(df, windows)[0], windows).collect():
+        assert r.tokens == total and r.least_containers == -(-total // r.capacity_tokens) <= r.n_containers <= 1.1 * r.least_containers
