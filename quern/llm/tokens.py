@@ -112,16 +112,19 @@ def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
 def word_table(docs: DataFrame, text: str = "text", path: str | None = None) -> tuple[DataFrame, int]:
     """The encoding of every distinct word of the corpus, written to the shared folder, and the number of words."""
     distinct = docs.select(F.explode(words_of(F.col(text))).alias("word")).distinct()
-    encoded = write_and_read(encode_words(distinct, path or vocabulary()), "words")
+    # the words are few bytes but much work: a fixed number of parts, which adaptive execution doesn't put together by their bytes
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    encoded = write_and_read(encode_words(distinct.repartition(tasks, "word"), path or vocabulary()), "words")
     return encoded, encoded.count()
 
 
 def _joined(docs: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
     """(_key, pos, ids) of every word of every document."""
     encoded, n = word_table(docs, text, path)
-    words = _words(docs, key, text)
-    if n <= BROADCAST_WORDS:
+    if n <= BROADCAST_WORDS:  # the texts are shuffled once, by their key; the words of a document stay in its task
+        words = _words(docs.select(key, text).repartition(key), key, text)
         return words.join(F.broadcast(encoded), "word").select("_key", "pos", "ids")
+    words = _words(docs, key, text)
     return merge_join(words, encoded, "word", "pos", hot_keys(words, "word", 200_000), "inner").select("_key", "pos", "ids")
 
 
