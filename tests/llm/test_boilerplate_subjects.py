@@ -143,6 +143,25 @@ def test_further_rounds_take_every_document(spark, monkeypatch):
     assert seen == [40] * (1 + S.ROUNDS)
 
 
+def test_calibration_takes_the_odds_that_agree_best(spark):
+    rows = [(i, 1, 0, ["w"]) for i in range(20)] + [(100 + i, 1, 0, ["v"]) for i in range(20)]
+    found = spark.createDataFrame(rows, "doc_id bigint, n_sentences int, sentence int, words array<string>")
+    rules = spark.createDataFrame([(["w"], "food", 4.0), (["v"], "food", 1.2)], "words array<string>, subject string, evidence double")
+    labels = spark.createDataFrame([(i, "food") for i in range(20)] + [(100 + i, "-") for i in range(20)], "doc_id bigint, subject string")
+    odds = S.calibrate(found, rules, labels)
+    assert {r.doc_id for r in S.decide(found, rules, odds).collect()} == set(range(20))
+    assert S.calibrate(found, rules, labels.where("doc_id < 0")) in S.NO_SUBJECT
+
+
+def test_long_sentences_with_many_telling_words(spark):
+    words = {"food": [f"f{c}x" for c in "abcdefghijklmnopqrstuvwxyz"], "sport": [f"s{c}x" for c in "abcdefghijklmnopqrstuvwxyz"]}
+    docs = [(i, f"{' '.join(words[k])}. {' '.join(words[k])}.") for i, k in enumerate(["food", "sport"] * 20)]
+    labels = [(i, k) for i, k in enumerate(["food", "sport"] * 20)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = S.assign(d, spark.createDataFrame(labels, "doc_id bigint, subject string"), spark.createDataFrame([("food",), ("sport",)], "subject string"))
+    assert {(r.doc_id, r.subject) for r in got.collect()} == set(labels)
+
+
 def test_subjects_without_labels(spark):
     d = spark.createDataFrame([(1, "Bir söz.")], "doc_id bigint, text string")
     areas = spark.createDataFrame([("food",)], "subject string")
