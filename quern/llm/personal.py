@@ -2,7 +2,7 @@
 
 Regular expressions propose spans, checksum and format validators confirm or reject them, and the words nearby raise or lower the score;
 spans above the threshold are replaced by typed placeholders. One regular expression inside the JVM leaves out the texts that hold
-no proposal at all; the rest is worked on in Arrow batches. The only thing learned is a list of name parts, counted over all user names.
+no proposal at all; the rest is worked on in Arrow batches. The only thing learned are name parts, counted over all user names.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from quern.sources import table
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = "email", "phone", "id_number", "address", "name"
 #: A span with at least this score is personal.
 THRESHOLD = 0.6
-#: Most name parts that are learned from the user names, the most frequent first.
-NAME_PARTS = 5000
+#: Name parts (about 40 bytes each) that are sent to every task; where there are more, each text gets those among its words by a join.
+NAME_PARTS = 50_000
 
 # Letters of az, tr and ru as typed without their marks; each maps to one character, so places in a text stay the same.
 _FROM = "ƏəĞğİıÖöŞşÜüÇçÂâÎîÛûЁё"
@@ -83,6 +83,8 @@ _PHONE = re.compile(r"(?<![\w.-])(?:\+|00)?\(?\d[\d ().-]{6,18}\d(?![\w-])")
 _ID_CUE = re.compile(_ID_BEFORE + r"(?: ?(?:no|[a-zа-я]{3,12})(?=[ :.(№#])\.?){0,3}[ :.(№#]*")
 _ID_TOKEN = re.compile(r"(?:[a-z]{1,3}[ -]?№? ?)?[0-9a-z]{2,}(?:[ -]?(?:№ ?)?[0-9a-z]{2,}){0,7}", re.I)
 _ID_ALONE = re.compile(r"\b(?:AZE ?\d{8}|AA ?№ ?\d{7}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?)\b")
+_CARD = re.compile(r"(?<![\d.-])(?:[3-6]\d{3}(?:[ -]?\d{4}){3}|3[47]\d\d[ -]?\d{6}[ -]?\d{5})(?![\d-])")
+_TURKISH = re.compile(r"(?<![\w.-])[1-9]\d{10}(?![\w-])")
 _W = r"[^\W\d_]+(?:['’̇-][^\W\d_]*)*"
 _NUMBER = r"(?:no ?[:.]? ?|№ ?|ev |bina |дом |д\. ?)?\d{1,4}[a-zа-я]?(?:[/-]\d{1,4})?(?:,? (?:menzil|m\.|blok|daire|kat|d\.|кв\.|квартира|unit|apt\.?|flat) ?\d{1,4})?"
 _ADDRESS = [
@@ -142,16 +144,20 @@ def is_phone(text: str) -> bool:
     return bool(american and re.fullmatch(r"\d+|1?[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}", text.strip()))
 
 
-def _id_score(token: str, cue: bool) -> float:
-    """How likely the token is an identity number, given a word for one before it."""
+def _id_score(token: str, cue: str = "") -> float:
+    """How likely the token is an identity number, given the words for one before it ("" for none).
+
+    A checksum decides where the shape has one: a passed one confirms without a cue, a failed one rejects in spite of it.
+    """
     bare = re.sub(r"[ №-]", "", token)
     digits = re.sub(r"\D", "", bare)
-    if mod97(bare) or turkish_id(bare):
+    if mod97(bare) or turkish_id(bare) or (_CARD.fullmatch(token) and luhn(digits)):
         return 1.0
+    turkish = re.search(r"kimlik|(?<![a-z])(?:tc|t\.c\.)", cue) and re.fullmatch(r"[1-9]\d{10}", bare)
+    if turkish or re.fullmatch(r"\d{13,19}", bare) or re.fullmatch(r"[A-Z]{2}\d{2}(?=[A-Z0-9]*\d{6})[A-Z0-9]{11,30}", bare.upper()):
+        return 0.0
     if cue and 5 <= len(bare) <= 20 and len(digits) >= 1:
-        if not (3 <= len(digits) or len(bare) == 7):
-            return 0.3
-        return 0.8 + 0.1 * (13 <= len(digits) <= 19 and luhn(digits))
+        return 0.8 if 3 <= len(digits) or len(bare) == 7 else 0.3
     return 0.7 if _ID_ALONE.fullmatch(token) and not token[:2].isdigit() and re.match(r"AZE|AA", token) else 0.0
 
 
@@ -191,11 +197,16 @@ def find(text: str, parts: set[str], field: str = "content") -> list[tuple[int,
         if t := _ID_TOKEN.match(text, m.end()):
             token = _trim_token(t.group())
             end = t.start() + len(token)
-            if token and (s := _id_score(token, True)) >= THRESHOLD and not taken(t.start(), end):
+            if token and (s := _id_score(token, m.group())) >= THRESHOLD and not taken(t.start(), end):
                 spans.append((t.start(), end, ID_NUMBER, s))
     for m in _ID_ALONE.finditer(text):
-        if (s := _id_score(m.group(), False)) >= THRESHOLD and not taken(*m.span()):
+        if (s := _id_score(m.group())) >= THRESHOLD and not taken(*m.span()):
             spans.append((*m.span(), ID_NUMBER, s))
+    for shape in (_CARD, _TURKISH):
+        for m in shape.finditer(text):
+            other = is_phone(m.group()) or _NO_PHONE.search(f[max(0, m.start() - 40) : m.start()])
+            if not other and _id_score(m.group()) >= THRESHOLD and not taken(*m.span()):
+                spans.append((*m.span(), ID_NUMBER, 1.0))
     for r in _ADDRESS:
         for m in r.finditer(f):
             if not taken(*m.span()):
@@ -285,38 +296,50 @@ def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def name_parts(feedback: DataFrame, most: int = NAME_PARTS) -> set[str]:
-    """Given names and surnames, folded: the words of user names that are two words with capitals, at most MOST of them.
-
-    Counted over all rows; only the bounded list reaches the driver.
-    """
+def name_parts(feedback: DataFrame) -> DataFrame:
+    """(w): given names and surnames, folded: the words of user names that are two words with capitals, if they occur twice; counted over all rows."""
     w = r"[\p{Lu}][\p{Ll}'’-]+"
-    words = (
-        feedback.where(F.col("user_name").rlike(rf"^{w} {w}$"))
-        .select(F.explode(F.split(folded(F.col("user_name")), " ")).alias("w"))
-        .groupBy("w").count().where(~F.col("w").isin(*sorted(_LABELS)) & (F.col("count") >= 2)).orderBy(F.desc("count"), "w").limit(most)
-    )
-    return {r.w for r in words.collect()}
+    words = feedback.where(F.col("user_name").rlike(rf"^{w} {w}$")).select(F.explode(F.split(folded(F.col("user_name")), " ")).alias("w"))
+    return words.groupBy("w").count().where(~F.col("w").isin(*sorted(_LABELS)) & (F.col("count") >= 2)).select("w")
 
 
 _SPANS = "array<struct<start: int, end: int, kind: string, score: double>>"
 
 
-def personal_spans(texts: DataFrame, parts: set[str], prefilter: bool = True) -> DataFrame:
+def _words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(folded(text), "\u0307", ""), F.lit(r"\p{L}+(?:['’-]\p{L}*)*"), F.lit(0))
+
+
+def _with_known(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """TEXTS with known: the name parts among the words of each, by a join of distinct words."""
+    words = texts.select(F.xxhash64("text").alias("_h"), F.explode(F.array_distinct(_words_of(F.col("text")))).alias("w")).distinct()
+    known = words.join(parts, "w").groupBy("_h").agg(F.collect_set("w").alias("known"))
+    return texts.withColumn("_h", F.xxhash64("text")).join(known, "_h", "left").drop("_h")
+
+
+def personal_spans(texts: DataFrame, parts: DataFrame, prefilter: bool = True, most: int = NAME_PARTS) -> DataFrame:
     """TEXTS (src_table, rec_id, field, text) with the columns spans and redacted; rows without personal data are left out.
 
-    Null and empty texts have none. start and end count characters from 0. Texts of any length are searched whole.
+    PARTS (w) are the known name parts: up to MOST are sent to every task as a set, beyond that each text gets its own by a join; the
+    result is the same. Null and empty texts have no personal data. start and end count characters from 0. Texts of any length are searched whole.
     """
-    wanted = texts.where(F.col("text").isNotNull() & (F.col("text") != ""))
+    wanted = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).select("src_table", "rec_id", "field", "text")
+    few = [r.w for r in parts.limit(most + 1).collect()]
+    everywhere = frozenset(few) if len(few) <= most else None
+    if everywhere is None:
+        wanted = _with_known(wanted, parts)
+        has_name = F.size("known") > 0
+    else:
+        wanted = wanted.withColumn("known", F.lit(None).cast("array<string>"))
+        has_name = F.exists(_words_of(F.col("text")), lambda w: w.isin(sorted(everywhere))) if everywhere else F.lit(False)
     if prefilter:
         f = folded(F.col("text"))
-        words = F.regexp_extract_all(F.regexp_replace(f, "\u0307", ""), F.lit(r"\p{L}+(?:['’-]\p{L}*)*"), F.lit(0))
-        weak = f.rlike(f"(?U){WEAK_PROPOSALS}") & F.exists(words, lambda w: w.isin(sorted(parts))) if parts else F.lit(False)
+        weak = f.rlike(f"(?U){WEAK_PROPOSALS}") & F.coalesce(has_name, F.lit(False))
         wanted = wanted.where((F.col("field") == "user_name") | f.rlike(f"(?U){PROPOSALS}") | weak)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [find(t, parts, k) for t, k in zip(f["text"], f["field"])]
+            found = [find(t, everywhere if everywhere is not None else set() if w is None else set(w), k) for t, k, w in zip(f["text"], f["field"], f["known"])]
             hit = [i for i, s in enumerate(found) if s]
             g = f.iloc[hit].copy()
             g["redacted"] = pd.Series([redact(f["text"].iat[i], found[i]) for i in hit], dtype=object, index=g.index)
@@ -324,7 +347,7 @@ def personal_spans(texts: DataFrame, parts: set[str], prefilter: bool = True) ->
             g["spans"] = pd.Series(spans, dtype=object, index=g.index)  # of object type even if the batch has no hit
             yield g[["src_table", "rec_id", "field", "redacted", "spans"]]
 
-    return wanted.select("src_table", "rec_id", "field", "text").mapInPandas(run, f"src_table string, rec_id bigint, field string, redacted string, spans {_SPANS}")
+    return wanted.mapInPandas(run, f"src_table string, rec_id bigint, field string, redacted string, spans {_SPANS}")
 
 
 def personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
