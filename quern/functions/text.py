@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.let import let
+
 # Az and tr letters and what they fold to.
 FOLD_FROM, FOLD_TO = "əƏıİşŞçÇöÖüÜğĞ", "eeiissccoouugg"
 # Arabic terms and their Latin forms.
@@ -60,6 +64,7 @@ OTHER_TERMS = [
     "php", "javascript", "python", "java", "css", "html", "react", "laravel", "server", "database", "mysql", "postgres", "mongodb", "api", "frontend", "backend",
     "bitcoin", "btc", "eth", "ethereum", "kripto", "crypto", "dollar", "usd", "eur", "seo", "marketing", "reklam", "smm",
 ]
+# Greetings, questions after one's health, and thanks.
 SHORT_GREETINGS = ["salam", "salamlar", "selam", "merhaba", "hello", "hi", "hey", "saqol", "sag ol", "sağ ol", "tesekkur", "tesekkurler", "təşəkkür"]
 GREETING = r"^(salam|selam|salam aleykum|salamun aleykum|salamün aleykum|merhaba|hello|hi|hey)[.!?\s]*$"
 WELLBEING = r"(necesen|haliniz necedir|hal-?iniz necedir)"
@@ -124,23 +129,30 @@ def keywords_smart(c: Column) -> Column:
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: c.contains(w))
+    """True if the text holds one of the words, by one pass of an alternation."""
+    return c.rlike("|".join(map(re.escape, words)))
 
 
 def is_small_talk(c: Column) -> Column:
     """Nothing but a greeting or thanks, or a question after one's health."""
-    t = F.lower(fold(F.trim(c)))
+    return let(F.lower(fold(F.trim(c))), lambda t: _small_talk(c, t))
+
+
+def _small_talk(c: Column, t: Column) -> Column:
     short = (F.length(t) <= 12) & ~c.contains("?") & t.isin(SHORT_GREETINGS)
     return (t != "") & (t.rlike(GREETING) | t.rlike(WELLBEING) | t.rlike(THANKS) | short)
 
 
 def intent(c: Column) -> Column:
     """SMALL_TALK, META, FIQH_QUESTION or OUT_OF_SCOPE by rules; cues are looked for inside words too."""
-    t = F.lower(fold(F.trim(c)))
+    return let(F.lower(fold(F.trim(c))), lambda t: _intent(c, t))
+
+
+def _intent(c: Column, t: Column) -> Column:
     question = c.contains("?") | contains_any(t, QUESTION_CUES)
     field = contains_any(t, FIELD_TERMS)
     return (
-        F.when((t == "") | is_small_talk(c), "SMALL_TALK")
+        F.when((t == "") | _small_talk(c, t), "SMALL_TALK")
         .when(contains_any(t, META_CUES), "META")
         .when(question & field, "FIQH_QUESTION")
         .when(contains_any(t, OTHER_TERMS) | question, "OUT_OF_SCOPE")
@@ -233,15 +245,13 @@ def clean_utf8(c: Column) -> Column:
 def unsupported_words(answer: Column, context: Column, least: int = 7) -> Column:
     """Words of ANSWER of LEAST letters and more that CONTEXT doesn't hold."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(answer), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0)))
-    low = F.lower(context)
-    return F.filter(words, lambda w: ~low.contains(w))
+    return let(F.lower(context), lambda low: F.filter(words, lambda w: ~low.contains(w)))
 
 
 def is_supported(answer: Column, context: Column) -> Column:
     """Every word of five letters and more occurs in CONTEXT."""
     words = F.regexp_extract_all(F.lower(answer), F.lit(r"\p{L}{5,}"), F.lit(0))
-    low = F.lower(context)
-    return F.forall(words, lambda w: low.contains(w))
+    return let(F.lower(context), lambda low: F.forall(words, lambda w: low.contains(w)))
 
 
 def token_estimate(c: Column) -> Column:

@@ -19,6 +19,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def unit(a: Column) -> Column:
+    """The vector scaled to length 1; all zeros for one of length zero. Meant for vectors of one length."""
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """The cosine over the shorter length; 0 for empty vectors and vectors of length zero."""
     n = F.least(F.size(a), F.size(b))

@@ -45,6 +45,7 @@ def _inside(c: Column, tag: str) -> Column:
 
 def clean_title(t: Column) -> Column:
     """Without a site name behind the last separator, where what stands before is the longer part."""
+    # Separators before a site's name.
     seps = F.array(*map(F.lit, [" - ", " | ", " :: ", " / ", " — "]))
 
     def step(t: Column, sep: Column) -> Column:
@@ -59,6 +60,7 @@ def title(c: Column, url: Column) -> Column:
     """The page's title: <title>, else <h1>, else og:title, of 6 to 200 bytes; else one made of the host."""
     og = F.trim(unescape(F.regexp_extract(c, r"(?i)<meta[^>]+property=[\"']og:title[\"'][^>]+content=[\"']([^\"']+)[\"']", 1)))
     fit = lambda t: F.when((F.octet_length(t) > 5) & (F.octet_length(t) <= 200), clean_title(t))
+    # The title of a page without one, and the name of a host that isn't known.
     host = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("bilinməyən mənbə"))
     return F.coalesce(fit(_inside(c, "title")), fit(_inside(c, "h1")), fit(og), F.concat(F.lit("İmport edilmiş məzmun - "), host))
 

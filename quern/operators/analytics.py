@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.skew import beside
+
 
 def counts_where(df: DataFrame, **conditions: Column | str) -> DataFrame:
     """One row with the number of rows that meet each condition, in one pass."""
@@ -103,10 +105,10 @@ def duration_histogram(df: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def response_gaps(messages: DataFrame, session: str, role: str, ts: str, key: str, most: int = 300) -> DataFrame:
-    """(session, gap): seconds from a user's row to the assistant's right behind it, above 0 and below MOST."""
-    w = Window.partitionBy(session).orderBy(ts, key)
-    pairs = messages.select(session, role, F.lead(role).over(w).alias("next"), F.expr(f"timestampdiff(SECOND, {ts}, lead({ts}) over (partition by {session} order by {ts}, {key}))").alias("gap"))
-    return pairs.where((F.col(role) == "user") & (F.col("next") == "assistant") & (F.col("gap") > 0) & (F.col("gap") < most)).select(session, "gap")
+    """(session, gap): seconds from a user's row to the assistant's right behind it, above 0 and below MOST. No task sorts a whole session."""
+    pairs = beside(messages.select(session, role, ts, key), session, ts, key, F.struct(F.col(role).alias("role"), F.col(ts).alias("at")), "_next", ahead=True)
+    gap = F.expr(f"timestampdiff(SECOND, {ts}, _next.at)")
+    return pairs.where((F.col(role) == "user") & (F.col("_next.role") == "assistant")).select(session, gap.alias("gap")).where((F.col("gap") > 0) & (F.col("gap") < most))
 
 
 def gap_stats(gaps: DataFrame) -> DataFrame:

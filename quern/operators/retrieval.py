@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import search_form
-from quern.functions.vectors import cosine
+from quern.functions.vectors import dot, unit
 from quern.sources import write_and_read
 
 #: Questions that are broadcast against all vectors at once, about; more go in several blocks.
@@ -33,7 +33,8 @@ def top_k(questions: DataFrame, vectors: DataFrame, k: int, question: str = "que
 
 
 def _top_k(questions: DataFrame, vectors: DataFrame, k: int, question: str, key: str) -> DataFrame:
-    scored = vectors.join(F.broadcast(questions), F.lit(True)).select(question, key, F.round(cosine(F.col("q"), F.col("v")), 9).alias("score"))
+    one = lambda c: unit(F.col(c)).alias(c)  # noqa: E731  both sides have length 1 before they meet, so a score is one product
+    scored = vectors.select(key, one("v")).join(F.broadcast(questions.select(question, one("q"))), F.lit(True)).select(question, key, F.round(dot(F.col("q"), F.col("v")), 9).alias("score"))
     w = Window.partitionBy(question).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 

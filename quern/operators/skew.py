@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A key with a larger share than 1/HOT_KEYS of the rows is always among the HOT_KEYS most frequent ones,
@@ -40,3 +40,23 @@ def merge_join(left: DataFrame, right: DataFrame, key: str, spread: str, hot: Da
     a = left.join(hot, left[key] == hot["_hot"], "left").withColumn("_part", part).drop("_hot")
     b = right.join(hot, right[key] == hot["_hot"], "left").withColumn("_part", F.explode(parts)).drop("_hot")
     return a.join(b.hint("merge"), [key, "_part"], how).drop("_part")
+
+
+def beside(df: DataFrame, group: str, at: str, key: str, value: Column, name: str, ahead: bool = False, block: str = "hour") -> DataFrame:
+    """DF with NAME: the nearest non-null VALUE before each row of its group in the order of AT and KEY, or AHEAD of it; null if there is none.
+
+    Rows of a group are cut into blocks of time, so that no task sorts a whole group: the window runs within each block, and what comes from
+    another block is found over the last (first) value of each block. Nulls in AT come first; rows with a null GROUP make a group of their own.
+    """
+    start = F.to_timestamp(F.lit("0001-01-01"))
+    rows = df.withColumns({"_g": F.coalesce(F.hash(group), F.lit(0)), "_s": F.struct(group), "_b": F.coalesce(F.date_trunc(block, at), start), "_v": value})
+    order = [F.col(at).asc_nulls_first(), F.col(key)] if not ahead else [F.col(at).desc_nulls_last(), F.col(key).desc()]
+    within = Window.partitionBy("_g", "_s", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pick = F.min_by if ahead else F.max_by
+    ends = rows.where("_v is not null").groupBy("_g", "_s", "_b").agg(pick("_v", F.struct(F.coalesce(at, start), key)).alias("_e"))
+    blocks = rows.groupBy("_g", "_s", "_b").agg(F.count("*")).drop("count(1)").join(ends.withColumnsRenamed({"_g": "_g2", "_s": "_s2", "_b": "_b2"}), (F.col("_g") == F.col("_g2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2")), "left")
+    across = Window.partitionBy("_g", "_s").orderBy(F.desc("_b") if ahead else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("_g").alias("_g2"), F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), F.last("_e", ignorenulls=True).over(across).alias("_o"))
+    near = rows.withColumn("_n", F.last("_v", ignorenulls=True).over(within))
+    joined = near.join(blocks, (F.col("_g") == F.col("_g2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2")), "left")
+    return joined.withColumn(name, F.coalesce("_n", "_o")).drop("_g", "_s", "_b", "_v", "_n", "_o", "_g2", "_s2", "_b2")

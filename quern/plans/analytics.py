@@ -155,7 +155,7 @@ _add(
 )
 _add(
     "a_token_sum",
-    lambda s, d: table(s, d, "messages").where(f"role = 'assistant' and to_date(created_at) >= date '{AS_OF:%Y-%m-%d}' - interval 1 day").agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens")),
+    lambda s, d: table(s, d, "messages").where(f"role = 'assistant' and created_at >= timestamp '{AS_OF:%Y-%m-%d}' - interval 1 day").agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens")),
     f"select count(*) as n, cast(coalesce(sum(tokens_used), 0) as bigint) as tokens from messages where role = 'assistant' and cast(created_at as date) >= date '{AS_OF:%Y-%m-%d}' - interval 1 day",
 )
 _add(

@@ -39,7 +39,8 @@ for _name, _cat, _k in (("l_qa", "category = 'qa'", 2), ("l_general", "coalesce(
 def _last_resort(s, d):  # noqa: ANN001, ANN202
     """Without a usable hit: the first six vectors of the two labels that score most, per question."""
     best = Q.dominant(_hits(s, d), of="label", top=2).select("question_id", "label")
-    rows = table(s, d, "embeddings").select("vec_id", "label").join(F.broadcast(best), "label")
+    first = R.newest_per_key(table(s, d, "embeddings").select("label", (-F.col("vec_id")).alias("v")), ["label"], ["v"], 6).select("label", (-F.col("v")).alias("vec_id"))
+    rows = first.join(best, "label")
     w = Window.partitionBy("question_id").orderBy("vec_id")
     return rows.withColumn("n", F.row_number().over(w)).where("n <= 6").select("question_id", "vec_id")
 
@@ -51,22 +52,16 @@ _add(
 )
 
 
-def _continue(s, d, sessions="chat_session_id > 1"):  # noqa: ANN001, ANN202
+def _continue(s, d):  # noqa: ANN001, ANN202
     """After the third row of each conversation the next twelve, until 240 characters are passed."""
-    m = table(s, d, "messages").where(f"{sessions} and content is not null").distinct()
-    w = Window.partitionBy("chat_session_id").orderBy("created_at", "id")
-    rows = m.withColumn("n", F.row_number().over(w)).where("n > 3 and n <= 15")
+    m = table(s, d, "messages").where("chat_session_id is not null and content is not null").distinct()
+    w = Window.partitionBy("chat_session_id").orderBy("created_at", "id")  # each task keeps the first fifteen of a conversation before the shuffle
+    rows = m.withColumn("n", F.row_number().over(w)).where("n <= 15").where("n > 3")
     return R.within_budget(rows, ["chat_session_id"], ["n"], F.length("content") + 1, 240).select("chat_session_id", "id", F.col("n").cast("bigint").alias("n"))
 
 
 _add(
     "r_continue", _continue,
-    """with r as (select *, row_number() over (partition by chat_session_id order by created_at, id) n from (select distinct * from messages where chat_session_id > 1 and content is not null)),
-    b as (select *, sum(length(content) + 1) over (partition by chat_session_id order by n rows between unbounded preceding and 1 preceding) used from r where n > 3 and n <= 15)
-    select chat_session_id, id, n from b where coalesce(used, 0) < 240""",
-)
-_add(
-    "r_continue_all", lambda s, d: _continue(s, d, "chat_session_id is not null"),
     """with r as (select *, row_number() over (partition by chat_session_id order by created_at, id) n from (select distinct * from messages where chat_session_id is not null and content is not null)),
     b as (select *, sum(length(content) + 1) over (partition by chat_session_id order by n rows between unbounded preceding and 1 preceding) used from r where n > 3 and n <= 15)
     select chat_session_id, id, n from b where coalesce(used, 0) < 240""",

@@ -108,15 +108,12 @@ _add(
 # retrieval over texts
 _add("r_like_fallback", lambda s, d: _kb(s, d).where(F.exists(F.array(F.lit("zəkat"), F.lit("fitrə")), lambda k: F.lower("content").contains(k))).orderBy("id").limit(5).select("id", "title"), "select id, title from knowledge_base where contains(lower(content), 'zəkat') or contains(lower(content), 'fitrə') order by id limit 5")
 _add("r_hosts", lambda s, d: _kb(s, d).where(H.host(F.col("source_url")).isin("sual.nurqapi.example", "voprosnik.invalid")).select("id"), f"select id from knowledge_base where {_HOST} in ('sual.nurqapi.example', 'voprosnik.invalid')")
-_add("r_context", lambda s, d: Q.context(table(s, d, "messages").where("chat_session_id is not null and content is not null").distinct(), "chat_session_id", "id", "content").select("chat_session_id", F.md5("context").alias("hash")), r"select chat_session_id, md5(string_agg(content, E'\n\n---\n\n' order by id)) as hash from (select distinct * from messages where chat_session_id is not null and content is not null) group by 1")
-_add("w_running_budget", lambda s, d: R.within_budget(table(s, d, "messages").where("chat_session_id > 1 and content is not null").distinct(), ["chat_session_id"], ["created_at", "id"], F.length("content") + 1, 200).select("id"), "select id from (select id, sum(length(content) + 1) over (partition by chat_session_id order by created_at, id rows between unbounded preceding and 1 preceding) b from (select distinct * from messages where chat_session_id > 1 and content is not null)) where coalesce(b, 0) < 200")
-_add("w_greedy_budget", lambda s, d: R.within_budget(table(s, d, "messages").where("chat_session_id > 1 and content is not null").distinct(), ["chat_session_id"], [F.desc(F.length("content")), "id"], F.length("content"), 300, crossing=False).select("id"), "select id from (select id, sum(length(content)) over (partition by chat_session_id order by length(content) desc, id rows unbounded preceding) u from (select distinct * from messages where chat_session_id > 1 and content is not null)) where u <= 300")
-# the same over every session, the hot one too: no task holds a session whole
+# over every session, the hot one too: no task holds a session whole
 _said = lambda s, d: table(s, d, "messages").where("chat_session_id is not null and content is not null").distinct()
 _SAID = "(select distinct * from messages where chat_session_id is not null and content is not null)"
 _add("r_context_pieces", lambda s, d: Q.context_pieces(_said(s, d), "chat_session_id", "id", "content").select("chat_session_id", "piece", F.md5("context").alias("hash")), rf"select chat_session_id, id // {Q.PIECE} as piece, md5(string_agg(content, E'\n\n---\n\n' order by id)) as hash from {_SAID} group by 1, 2")
-_add("w_running_budget_all", lambda s, d: R.within_budget(_said(s, d), ["chat_session_id"], ["created_at", "id"], F.length("content") + 1, 200, block=F.to_date("created_at")).select("id"), f"select id from (select id, sum(length(content) + 1) over (partition by chat_session_id order by created_at, id rows between unbounded preceding and 1 preceding) b from {_SAID}) where coalesce(b, 0) < 200")
-_add("w_greedy_budget_all", lambda s, d: R.within_budget(_said(s, d), ["chat_session_id"], [F.desc(F.length("content")), "id"], F.length("content"), 300, crossing=False, block=F.struct(-F.length("content"), F.expr(f"id div {Q.PIECE}"))).select("id"), f"select id from (select id, sum(length(content)) over (partition by chat_session_id order by length(content) desc, id rows unbounded preceding) u from {_SAID}) where u <= 300")
+_add("w_running_budget", lambda s, d: R.within_budget(_said(s, d), ["chat_session_id"], ["created_at", "id"], F.length("content") + 1, 200, block=F.to_date("created_at")).select("id"), f"select id from (select id, sum(length(content) + 1) over (partition by chat_session_id order by created_at, id rows between unbounded preceding and 1 preceding) b from {_SAID}) where coalesce(b, 0) < 200")
+_add("w_greedy_budget", lambda s, d: R.within_budget(_said(s, d), ["chat_session_id"], [F.desc(F.length("content")), "id"], F.length("content"), 300, crossing=False, block=F.struct(-F.length("content"), F.expr(f"id div {Q.PIECE}"))).select("id"), f"select id from (select id, sum(length(content)) over (partition by chat_session_id order by length(content) desc, id rows unbounded preceding) u from {_SAID}) where u <= 300")
 _WEIGHTS = {"namaz": 8, "oruc": 3, "dua": 2}
 _add("r_wide", lambda s, d: Q.wide_extract(write_and_read(chunks(s, d, 400, 80), "chunks"), "kb_id", "chunk_index", "content", _WEIGHTS, 4, 1200).select("kb_id", F.length("extract").alias("chars"), F.md5("extract").alias("hash")))
 _add("r_intro", lambda s, d: Q.context(R.within_budget(write_and_read(chunks(s, d, 400, 80), "chunks"), ["kb_id"], ["chunk_index"], F.length("content") + 1, 1400), "kb_id", "chunk_index", "content", "\n").select("kb_id", F.md5(trim_to_sentence(F.col("context"), 1400)).alias("hash")))

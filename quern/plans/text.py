@@ -40,10 +40,10 @@ _STEM = f"flatten(list_transform({_TOK(3, T.STOP_SHORT)}, lambda t: list_concat(
 _EXP = lambda x, m: f"flatten(list_transform({x}, lambda t: list_concat([t], coalesce(({_map(m)})[t], cast([] as varchar[])))))"
 _join = lambda x: f"array_to_string({x}, '|')"
 _text = lambda x: F.array_join(x, "|")
-_over("t_keywords_simple", lambda: [_text(T.keywords_simple(_c())).alias("keywords")], f"{_join('(' + _DISTINCT.format(x=_EXP(_STEM, T.VARIANTS)) + ')[1:12]')} as keywords", where="content is not null and contains(content, '?')")
-_over("t_keywords_smart", lambda: [_text(T.keywords_smart(_c())).alias("keywords")], None, where="content is not null and contains(content, '?')")
-_over("t_synonyms", lambda: [_text(T._expand(T._tokens(_c(), 2, ["-"]), T.SYNONYMS)).alias("words")], f"{_join(_DISTINCT.format(x=_EXP(_TOK(2, ['-']), T.SYNONYMS)))} as words", where="content is not null and role = 'user'")
-_over("s_len_desc", lambda: [_text(T.by_length(T._tokens(_c(), 2, T.STOP_LONG))).alias("words")], None, where="content is not null and role = 'user'")
+_over("t_keywords_simple", lambda: [_text(T.keywords_simple(_c())).alias("keywords")], f"{_join('(' + _DISTINCT.format(x=_EXP(_STEM, T.VARIANTS)) + ')[1:12]')} as keywords")
+_over("t_keywords_smart", lambda: [_text(T.keywords_smart(_c())).alias("keywords")], None)
+_over("t_synonyms", lambda: [_text(T._expand(T._tokens(_c(), 2, ["-"]), T.SYNONYMS)).alias("words")], f"{_join(_DISTINCT.format(x=_EXP(_TOK(2, ['-']), T.SYNONYMS)))} as words")
+_over("s_len_desc", lambda: [_text(T.by_length(T._tokens(_c(), 2, T.STOP_LONG))).alias("words")], None)
 _SMALL = f"({_LOW} != '' and (regexp_matches({_LOW}, '{T.GREETING}') or regexp_matches({_LOW}, '{T.WELLBEING}') or regexp_matches({_LOW}, '{T.THANKS}') or (length({_LOW}) <= 12 and not contains(content, '?') and {_LOW} in ({', '.join(repr(w) for w in T.SHORT_GREETINGS)}))))"
 _over("t_small_talk", lambda: [T.is_small_talk(_c()).alias("small_talk")], f"{_SMALL} as small_talk")
 _Q = f"(contains(content, '?') or {_or(_LOW, T.QUESTION_CUES)})"

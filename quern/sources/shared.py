@@ -1,11 +1,13 @@
 """Written intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-(local tests) a temporary folder of this machine is used instead.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests)
+a temporary folder of this machine is used, which goes when the process ends; on a cluster the setting is required.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,8 +20,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, unused folder name below the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="spark-quern-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         base = f"file://{_local[0]}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
