@@ -84,7 +84,7 @@ def host(url: Column) -> Column:
 def absolute(link: Column, base: Column) -> Column:
     """A link as seen on the page BASE, without its fragment; null for anchors, scripts, mail and phone links."""
     scheme = F.lower(F.try_parse_url(base, F.lit("PROTOCOL")))
-    root = F.concat(scheme, F.lit("://"), F.try_parse_url(base, F.lit("HOST")))
+    root = F.concat(scheme, F.lit("://"), F.regexp_replace(F.try_parse_url(base, F.lit("AUTHORITY")), "^.*@", ""))  # the port too
     folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(://[^/]+/?.*?)[^/]*$", "$1")
     at = F.when(link.rlike("(?i)^https?://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(folder, link))
     return F.when(~link.rlike(r"(?i)^(#|javascript:|mailto:|tel:)") & (link != ""), F.regexp_replace(at, "#.*$", ""))

@@ -41,10 +41,31 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k:
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
+def _without(target: DataFrame, keys_of: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of TARGET whose KEYS aren't in KEYS_OF; nulls are equal to each other."""
+    other = keys_of.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return target.join(other, same, "left_anti")
+
+
+def bulk_update(df: DataFrame, condition: Column | str, **values: Column | str) -> DataFrame:
+    """DF with new values (columns, or SQL) in the rows that meet CONDITION."""
+    expr = lambda c: F.expr(c) if isinstance(c, str) else c
+    hit = F.coalesce(expr(condition), F.lit(False))
+    return df.withColumns({n: F.when(hit, expr(v)).otherwise(F.col(n)) for n, v in values.items()})
+
+
+def truncate(df: DataFrame) -> DataFrame:
+    """No rows, the same columns; nothing is read."""
+    return df.where(F.lit(False))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
-    """TARGET after SOURCE is written over it by KEYS: rows of SOURCE win; of several with a key the last by ORDER."""
+    """TARGET after SOURCE is written over it by KEYS (nulls are equal): rows of SOURCE win; of several with a key the last by ORDER."""
     new = newest_per_key(source, keys, order or [c for c in source.columns if c not in keys])
-    return target.join(new, list(keys), "left_anti").unionByName(new)
+    return _without(target, new, keys).unionByName(new)
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:

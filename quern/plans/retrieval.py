@@ -32,30 +32,19 @@ for _tag in H.DROPPED:
     _clean = rf"regexp_replace({_clean}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}>', ' ', 'g')"
 _clean = rf"trim(regexp_replace(regexp_replace(regexp_replace({_UN.format(_clean)}, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r]+', ' ', 'g'), '\s*\n\s*', E'\n', 'g'))"
 _add("h_clean", lambda s, d: _kb(s, d).select("id", F.md5(H.clean_text(F.col("content"))).alias("hash")), f"select id, md5({_clean}) as hash from knowledge_base")
-_add("h_title", lambda s, d: _kb(s, d).select("id", H.title(F.col("content"), F.col("source_url")).alias("title")))
-_add("h_meta", lambda s, d: _kb(s, d).select("id", H.meta(F.col("content"), "description").alias("description"), H.charset(F.col("content")).alias("charset"), H.host(F.col("source_url")).alias("host")))
 _HOST = r"regexp_replace(lower(nullif(regexp_extract(trim(source_url), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1), '')), '^www\.', '')"
+_add("h_title", lambda s, d: _kb(s, d).select("id", H.title(F.col("content"), F.col("source_url")).alias("title")))
+_add("h_meta", lambda s, d: _kb(s, d).select("id", H.meta(F.col("content"), "description").alias("description"), H.charset(F.col("content")).alias("charset"), H.host(F.col("source_url")).alias("host")), rf"""select id, nullif(regexp_extract(content, '(?i)<meta\s+name=["'']description["'']\s+content=["'']([^"'']*)["'']', 1), '') as description,
+nullif(lower(regexp_extract(content, '(?i)<meta[^>]+charset=["'']?([A-Za-z0-9_-]+)', 1)), '') as charset, {_HOST} as host from knowledge_base""")
 _add("u_host", lambda s, d: _kb(s, d).groupBy(H.host(F.col("source_url")).alias("host")).agg(F.count("*").alias("n")), f"select {_HOST} as host, count(*) as n from knowledge_base group by 1")
 _HREF = r"unnest(regexp_extract_all(content, '(?i)href=[\"'']([^\"'']+)[\"'']', 1))"
-_add("h_links", lambda s, d: H.links(_pages(s, d), "id", "source_url", "content"))
+_ROOT = r"lower(regexp_extract(trim(source_url), '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#:]+)', 1)) || '://' || regexp_extract(trim(source_url), '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]+)', 2)"
+_add("h_links", lambda s, d: H.links(_pages(s, d), "id", "source_url", "content"), f"select distinct id, regexp_replace(root || l, '#.*$', '') as link from (select id, {_ROOT} as root, {_HREF} l from knowledge_base where source_url like '%://%') where l like '/%'")
 _add("h_links_per_page", lambda s, d: H.links(_pages(s, d), "id", "source_url", "content").groupBy("id").agg(F.count("*").alias("links")), f"select id, count(distinct l) as links from (select id, {_HREF} l from knowledge_base where source_url like '%://%') where l like '/%' group by 1")
 _BASE = "https://sual.nurqapi.example/yazi/"
 _add("scope_filter", lambda s, d: _pages(s, d).select("id", H.in_scope(F.trim("source_url"), F.lit(_BASE)).alias("in_scope")), r"select id, regexp_matches(lower(trim(source_url)), '^https://sual\.nurqapi\.example/yazi(/|[?#]|$)') and not regexp_matches(lower(trim(source_url)), '\.pdf([?#]|$)') as in_scope from knowledge_base where source_url like '%://%'")
 
 
-def _edges(s, d):  # noqa: ANN001, ANN202
-    """Orders link parts to suppliers: a graph that grows with the tables."""
-    li = table(s, d, "lineitem").select((F.col("l_partkey") % 500).alias("p"), (F.col("l_suppkey") % 500 + 1000).alias("q"))
-    return li.select(F.col("p").alias("src"), F.col("q").alias("dst")).distinct().unionByName(li.select(F.col("q").alias("src"), (F.col("p") + 1).alias("dst")).distinct()).distinct()
-
-
-_add(
-    "crawl_bfs",
-    lambda s, d: reach(write_and_read(_edges(s, d), "edges"), s.range(1).select(F.lit(3).cast("bigint").alias("node")), 3),
-    """with recursive e as (select distinct l_partkey % 500 as src, l_suppkey % 500 + 1000 as dst from lineitem union select distinct l_suppkey % 500 + 1000, l_partkey % 500 + 1 from lineitem),
-    r as (select cast(3 as bigint) as node, 0 as depth union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 3) select node, min(depth) as depth from r group by 1""",
-)
-
 def _crawled(s, d, depth: int = 3):  # noqa: ANN001, ANN202
     """(node, depth): addresses in scope of the base that links lead to from any page in scope, within DEPTH steps."""
     pages = _pages(s, d).select("id", "source_url", "content")
@@ -66,7 +55,16 @@ def _crawled(s, d, depth: int = 3):  # noqa: ANN001, ANN202
     return reach(write_and_read(edges, "edges"), start, depth)
 
 
-_add("crawl_pages", _crawled)
+_ADDRESS = r"lower(regexp_extract(trim(source_url), '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#:]+)', 1)) || '://' || regexp_extract(trim(source_url), '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#:]+)', 2)"
+_IN_SCOPE = lambda u: rf"regexp_matches(lower({u}), '^https://sual\.nurqapi\.example/yazi(/|[?#]|$)') and not regexp_matches(lower({u}), '\.({'|'.join(H.NO_PAGES)})([?#]|$)')"
+_LINKED = rf"""with recursive p as (select id, trim(source_url) as u, {_ADDRESS} as root, content from knowledge_base where source_url like '%://%'),
+l as (select id, u, regexp_replace(root || l, '#.*$', '') as link from (select id, u, root, {_HREF} l from p) where l like '/%'),
+e as (select distinct regexp_replace(u, '#.*$', '') as src, link as dst from l where {_IN_SCOPE('link')}),
+r as (select regexp_replace(u, '#.*$', '') as node, 0 as depth from p where {_IN_SCOPE('u')} union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 3),
+c as (select node, min(depth) as depth from r group by 1)"""
+_add("crawl_pages", _crawled, _LINKED + " select node, depth from c")
+# the crawl with a bound on its pages, the nearest first
+_add("crawl_bfs", lambda s, d: _crawled(s, d).orderBy("depth", "node").limit(100), _LINKED + " select node, depth from c order by depth, node limit 100")
 
 # chunks
 def chunks(s, d, size: int = 1024, overlap: int = 200):  # noqa: ANN001, ANN201
@@ -136,6 +134,11 @@ _add(
     s as (select query_id, id, round(sum(tf * idf * idf), 6) score from a join i using (term) join f using (term) group by 1, 2)
     select query_id, id, round(score, 4) as score, row_number() over (partition by query_id order by s.score desc, id) as rank from s qualify rank <= 5""",
 )
+_add(
+    "r_context",
+    lambda s, d: Q.context(QUERIES["l_fulltext"](s, d).join(_kb(s, d).select("id", F.col("content").alias("said")).distinct(), "id").select("query_id", "rank", "said"), "query_id", "rank", "said").select("query_id", F.md5("context").alias("hash")),
+    rf"with h as ({ORACLE['l_fulltext']}) select query_id, md5(string_agg(content, E'\n\n---\n\n' order by rank)) as hash from h join (select distinct id, content from knowledge_base) k on k.id = h.id group by 1",
+)
 _TIERS = {1: "contains(lower(title), 'zəkat') and source_url like 'http%'", 2: "contains(lower(title), 'zəkat') or contains(lower(content), 'zəkat niyyəti')", 3: "true"}
 _add(
     "l_url_tiers",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import keywords as K
 from quern.functions import text as T
 from quern.sources import table
 
@@ -41,9 +42,12 @@ _EXP = lambda x, m: f"flatten(list_transform({x}, lambda t: list_concat([t], coa
 _join = lambda x: f"array_to_string({x}, '|')"
 _text = lambda x: F.array_join(x, "|")
 _over("t_keywords_simple", lambda: [_text(T.keywords_simple(_c())).alias("keywords")], f"{_join('(' + _DISTINCT.format(x=_EXP(_STEM, T.VARIANTS)) + ')[1:12]')} as keywords")
-_over("t_keywords_smart", lambda: [_text(T.keywords_smart(_c())).alias("keywords")], None)
+_LONGEST = lambda x: _DISTINCT.format(x=f"list_transform(list_sort(list_transform({x}, lambda t, i: {{'l': -length(t), 'i': i, 't': t}})), lambda p: p.t)")
+_over("t_keywords_smart", lambda: [_text(T.keywords_smart(_c())).alias("keywords")], f"{_join(_DISTINCT.format(x=_EXP(_LONGEST(_TOK(2, T.STOP_LONG)), T.SYNONYMS)))} as keywords")
 _over("t_synonyms", lambda: [_text(T._expand(T._tokens(_c(), 2, ["-"]), T.SYNONYMS)).alias("words")], f"{_join(_DISTINCT.format(x=_EXP(_TOK(2, ['-']), T.SYNONYMS)))} as words")
-_over("s_len_desc", lambda: [_text(T.by_length(T._tokens(_c(), 2, T.STOP_LONG))).alias("words")], None)
+_over("s_len_desc", lambda: [_text(T.by_length(T._tokens(_c(), 2, T.STOP_LONG))).alias("words")], f"{_join(_LONGEST(_TOK(2, T.STOP_LONG)))} as words")
+_over("t_keywords_enh", lambda: [_text(K.keywords_enhanced(_c())).alias("keywords")])
+_over("t_reduce", lambda: [F.md5(K.reduced(_c(), 900)).alias("hash")], None, t="knowledge_base")
 _SMALL = f"({_LOW} != '' and (regexp_matches({_LOW}, '{T.GREETING}') or regexp_matches({_LOW}, '{T.WELLBEING}') or regexp_matches({_LOW}, '{T.THANKS}') or (length({_LOW}) <= 12 and not contains(content, '?') and {_LOW} in ({', '.join(repr(w) for w in T.SHORT_GREETINGS)}))))"
 _over("t_small_talk", lambda: [T.is_small_talk(_c()).alias("small_talk")], f"{_SMALL} as small_talk")
 _Q = f"(contains(content, '?') or {_or(_LOW, T.QUESTION_CUES)})"

@@ -1,3 +1,5 @@
+import os
+import shutil
 import subprocess
 import sys
 
@@ -16,3 +18,10 @@ def test_entry_runs(spark):
 def test_core_does_not_need_llm():
     code = "import sys; sys.modules['quern.llm'] = None\nimport __spark_entry__ as e\nassert 'p4_found' in e.queries() and 'p1_found' not in e.queries()"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120).returncode == 0
+
+
+def test_a_copy_without_llm_works(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e\nassert 'p4_found' in e.queries() and 'p1_found' not in e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, timeout=120).returncode == 0

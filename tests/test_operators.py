@@ -76,13 +76,13 @@ def test_queries_over_all_sessions_and_orders(spark, tmp_path):
     rows = [(i, 1 if i <= 1500 else 2, t(i // 10), "user", f"text {i % 7}") for i in range(1, 1521)]
     spark.createDataFrame(rows, "id bigint, chat_session_id bigint, created_at timestamp, role string, content string").write.parquet(f"{tmp_path}/messages.parquet")
     q = queries()
-    for name, n in (("w_running_budget_all", 29 + 20), ("w_greedy_budget_all", 50 + 20), ("r_continue_all", 12 + 12)):
+    for name, n in (("w_running_budget", 29 + 20), ("w_greedy_budget", 50 + 20), ("r_continue", 12 + 12)):
         assert q[name](spark, str(tmp_path)).count() == n, name
     pieces = q["r_context_pieces"](spark, str(tmp_path)).collect()
     assert sorted((r.chat_session_id, r.piece) for r in pieces) == [(1, 0), (1, 1), (2, 1)]
     spark.createDataFrame([(7,), (600_001,)], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(600_001, 2), (600_001, 1)], "l_orderkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert sorted(map(tuple, q["j_eager_1ton_all"](spark, str(tmp_path)).collect())) == [(7, None), (600_001, "1,2")]
+    assert sorted(map(tuple, q["j_eager_1ton"](spark, str(tmp_path)).collect())) == [(7, None), (600_001, "1,2")]
 
 
 def test_more_questions_than_a_block(spark, monkeypatch):
