@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.let import let
 from quern.sources import table
 
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = "email", "phone", "id_number", "address", "name"
@@ -55,10 +56,10 @@ _LABELS = {
     "qonaq", "guest", "misafir", "гость", "anonim", "anonymous", "user", "reader", "visitor", "okuyan", "ziyaretci", "читатель", "admin",
     "bot", "istifadeci", "kullanici", "oxucu", "silent", "mavi", "gece", "пользователь", "аноним", "test", "operator", "team",
 }
-_ID_BEFORE = (
-    r"(?:fin kod\w*|pasport\w*|pasaport\w*|passport\w*|паспорт\w*|vesiqe\w*|kimlik\w*|sened nomre\w*|id number|identity card|identity no"
-    r"|national id\w*|удостоверени\w*|(?<![a-zа-я])(?:снилс|инн|ssn|iban|tc|t\.c\.)(?![a-zа-я]))"
-)
+# Words before an identity number (folded); the short ones only at the begin of a word.
+_ID_WORDS = ["fin kod", "pasport", "pasaport", "passport", "паспорт", "vesiqe", "kimlik", "sened nomre", "id number", "identity card", "identity no", "national id", "удостоверени"]
+_ID_SHORT = r"(?<![a-zа-я])(?:снилс|инн|ssn|iban|tc|t\.c\.)"
+_ID_BEFORE = rf"(?:(?:{'|'.join(_ID_WORDS)})\w*|{_ID_SHORT}(?![a-zа-я]))"
 _STREET = {
     "az": r"(?:kucesi|kuc\.|prospekti|pr\.|dongesi|xiyabani|sossesi|meydani)",
     "tr": r"(?:caddesi|cad\.|sokagi|sokak|sok\.|sk\.|bulvari|blv\.)",
@@ -67,14 +68,14 @@ _STREET = {
 }
 _WEAK = 0.2
 #: A folded text has no proposal unless it has one of these, or a known name part beside WEAK_PROPOSALS. Each alternation is that of find() or
-#: a wider one; in the JVM they are read with (?U), so that digits and white space are those of Python.
-PROPOSALS = "|".join([
-    r"@|at[)\]]|\d[\d ().-]{6,18}\d|aze ?\d{8}|aa ?№ ?\d{7}|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3}", _ID_BEFORE,
-    *[re.escape(w) + r" \S" for s, ws in _BEFORE.items() if s > _WEAK for w in ws], *[re.escape(w) for ws in _AFTER.values() for w in ws],
-    rf" (?:{_STREET['az']}|{_STREET['tr']}),? \S", _STREET["ru"], rf"\d[a-z]? \S+(?: \S+)? {_STREET['en']}",
-])
+#: a wider one; in the JVM they are read with (?U), so that digits and white space are those of Python, and the fixed words are looked for as such.
+_SHAPES = r"@|at[)\]]|\d[\d ().-]{6,18}\d|aze ?\d{8}|aa ?№ ?\d{7}|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3}"
+_PLACES = rf" (?:{_STREET['az']}|{_STREET['tr']}),? \S|\d[a-z]? \S+(?: \S+)? {_STREET['en']}"
+_CUES = [w for s, ws in _BEFORE.items() if s > _WEAK for w in ws] + [w for ws in _AFTER.values() for w in ws]
+PROPOSALS = "|".join([_SHAPES, _PLACES, _STREET["ru"], _ID_BEFORE, *map(re.escape, _CUES)])
 #: A weak word before a name, or a line of one or two words.
-WEAK_PROPOSALS = "|".join([*[re.escape(w) + r" \S" for w in _BEFORE[_WEAK]], r"(?:^|\n)[ \t]*(?:\S\. ?)?[^\s.]+(?: [^\s.]+)?[ \t]*(?:\n|$)"])
+_SHORT_LINE = r"(?:^|\n)[ \t]*(?:\S\. ?)?[^\s.]+(?: [^\s.]+)?[ \t]*(?:\n|$)"
+WEAK_PROPOSALS = "|".join([*[re.escape(w) + r" \S" for w in _BEFORE[_WEAK]], _SHORT_LINE])
 
 _AT = r"(?: ?@ ?| ?[\[(] ?at ?[\])] ?)"
 _DOT = r"(?:\.| ?[\[(] ?dot ?[\])] ?)"
@@ -306,6 +307,17 @@ def name_parts(feedback: DataFrame) -> DataFrame:
 _SPANS = "array<struct<start: int, end: int, kind: string, score: double>>"
 
 
+def _holds(f: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: f.contains(w))
+
+
+def proposed(text: Column, has_name: Column) -> Column:
+    """True for a text that PROPOSALS finds something in, or WEAK_PROPOSALS if it HAS_NAME; folded once, words without a pattern."""
+    fixed = [*_CUES, *_ID_WORDS, *[w.replace("\\", "") for w in _STREET["ru"][3:-1].split("|")]]
+    weak = lambda f: (_holds(f, [f"{w} " for w in _BEFORE[_WEAK]]) | f.rlike(f"(?U){_SHORT_LINE}")) & F.coalesce(has_name, F.lit(False))
+    return let(folded(text), lambda f: f.rlike(f"(?U){_SHAPES}") | f.rlike(f"(?U){_PLACES}") | f.rlike(_ID_SHORT) | _holds(f, fixed) | weak(f))
+
+
 def _words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(folded(text), "\u0307", ""), F.lit(r"\p{L}+(?:['’-]\p{L}*)*"), F.lit(0))
 
@@ -333,9 +345,7 @@ def personal_spans(texts: DataFrame, parts: DataFrame, prefilter: bool = True, m
         wanted = wanted.withColumn("known", F.lit(None).cast("array<string>"))
         has_name = F.exists(_words_of(F.col("text")), lambda w: w.isin(sorted(everywhere))) if everywhere else F.lit(False)
     if prefilter:
-        f = folded(F.col("text"))
-        weak = f.rlike(f"(?U){WEAK_PROPOSALS}") & F.coalesce(has_name, F.lit(False))
-        wanted = wanted.where((F.col("field") == "user_name") | f.rlike(f"(?U){PROPOSALS}") | weak)
+        wanted = wanted.where((F.col("field") == "user_name") | proposed(F.col("text"), has_name))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
