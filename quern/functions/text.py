@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,8 +127,8 @@ def keywords_smart(c: Column) -> Column:
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    """True if the text holds one of the words, by one pass of an alternation."""
-    return c.rlike("|".join(map(re.escape, words)))
+    """True if the text holds one of the words. C should be a column or a value named by let(), as it is looked at once per word."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: c.contains(w))
 
 
 def is_small_talk(c: Column) -> Column:

@@ -1,6 +1,6 @@
 """Table readers, sinks and the shared scratch folder."""
 
-from quern.sources.tables import has_table, table
+from quern.sources.tables import table
 from quern.sources.shared import shared_dir, write_and_read
 
-__all__ = ["has_table", "shared_dir", "table", "write_and_read"]
+__all__ = ["shared_dir", "table", "write_and_read"]

@@ -8,9 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table NAME of a data folder (one Parquet file or folder per table)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    """True if the folder holds the table."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
