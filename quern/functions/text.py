@@ -255,3 +255,15 @@ def is_supported(answer: Column, context: Column) -> Column:
 def token_estimate(c: Column) -> Column:
     """A quarter of the characters, rounded up, 1 at least."""
     return F.greatest(F.lit(1), F.ceil(F.length(c) / 4)).cast("bigint")
+
+
+def shingles(c: Column, n: int = 5) -> Column:
+    """The different runs of N words of a text in lower case; a shorter text is one run."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return let(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: F.when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs(w))))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Common elements over all elements of two sets; 0 for two empty ones."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))

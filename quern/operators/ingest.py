@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.chunking import chunk_list, sentence_list
-from quern.functions.text import ends_sentence, fold, trim_to_sentence
+from quern.functions.text import ends_sentence, fold, jaccard, shingles, trim_to_sentence
 from quern.functions.vectors import hash_embedding
 from quern.operators.retrieval import context, neighbours
+from quern.operators.skew import hot_keys, merge_join
 from quern.sources import write_and_read
 
 # What a sentence begins with.
@@ -86,3 +87,15 @@ def last_errors(lines: DataFrame, order: Sequence[str], line: str, tail: int = 5
     end = lines.orderBy(*[F.desc(c) for c in order]).limit(tail)
     found = end.where(F.col(line).contains("ERROR")).orderBy(*[F.desc(c) for c in order]).limit(most)
     return found.select(F.regexp_extract(line, r"^\[([^\]]+)\]", 1).alias("at"), F.col(line))
+
+
+def similar_entries(entries: DataFrame, key: str = "id", title: str = "title", text: str = "content", least: float = 0.8, prefix: int = 50) -> DataFrame:
+    """(KEY, first, similarity): entries whose text is similar to that of the first entry (by KEY) whose title begins with the same PREFIX characters.
+
+    Similarity is that of the sets of five-word runs, at least LEAST. Each entry meets one other only, so groups of any size are worked
+    on in linear time; titles that very many entries share are divided into parts. Null titles and texts are similar to nothing.
+    """
+    rows = entries.where(F.col(title).isNotNull() & F.col(text).isNotNull()).select(key, F.substring(title, 1, prefix).alias("_p"), F.col(text).alias("_t"))
+    first = rows.groupBy("_p").agg(F.min_by(F.struct(F.col(key).alias("first"), F.col("_t").alias("_f")), F.struct(key, "_t")).alias("_r"), F.count("*").alias("_n")).where("_n > 1").select("_p", "_r.first", "_r._f")
+    pairs = merge_join(rows, first, "_p", key, hot_keys(rows, "_p"), "inner").where(F.col(key) != F.col("first"))
+    return pairs.select(key, "first", jaccard(shingles(F.col("_t")), shingles(F.col("_f"))).alias("similarity")).where(F.col("similarity") >= least)

@@ -94,3 +94,11 @@ _add(
     f"""with e as (select ts, event_id, {_LINE.format(at="strftime(ts, '%Y-%m-%d %H:%M:%S')")} as line from events order by ts desc, event_id desc limit 50)
     select substring(line, 2, 19) as at, line from e where contains(line, 'ERROR') order by ts desc, event_id desc limit 5""",
 )
+_RUNS = r"case when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end"
+_add(
+    "t_similar_text",
+    lambda s, d: I.similar_entries(_kb(s, d)).select("id", "first", F.round("similarity", 6).alias("similarity")),
+    f"""with r as (select id, left(title, 50) as p, string_split_regex(lower(trim(content)), '\\s+') as w from knowledge_base where title is not null and content is not null),
+    e as (select id, p, {_RUNS} as runs, min(id) over (partition by p) as first from r), j as (select a.id, a.first, len(list_intersect(a.runs, b.runs)) as i, len(a.runs) as x, len(b.runs) as y from e a join e b on b.id = a.first and b.p = a.p where a.id != a.first)
+    select id, first, round(i * 1.0 / (x + y - i), 6) as similarity from j where i * 1.0 / (x + y - i) >= 0.8""",
+)

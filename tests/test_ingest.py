@@ -152,3 +152,13 @@ def test_shared_folder_is_required_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session(), "x")
+
+
+def test_similar_entries(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(words), " ".join([*words[:39], "other"]), " ".join(words[::-1])
+    rows = [(1, "T", a, 0), (2, "T", b, 0), (3, "T", c, 0), (4, "T", a.upper(), 0), (5, "U", a, 0), (6, None, a, 0), (7, "T", None, 0), (8, "V", "", 0), (9, "V", "", 0)]
+    df = spark.createDataFrame(rows, "id bigint, title string, content string, first int")
+    got = {r.id: (r.first, round(r.similarity, 3)) for r in I.similar_entries(df).collect()}
+    assert got == {2: (1, round(35 / 37, 3)), 4: (1, 1.0), 9: (8, 1.0)}
+    assert I.similar_entries(df.where("id > 90")).count() == 0
