@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.sources import shared_dir, table
+from quern.sources import discard, shared_dir, table
 
 USER, ASSISTANT, SYSTEM, UNKNOWN = 1, 2, 0, 3
 
@@ -189,6 +189,8 @@ def _drain(spark: SparkSession, path: str, schema: str, closing: dict[str, objec
             rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(_PROVIDER, before)
+    for folder in (ends, state):  # all is emitted, no state is left
+        discard(spark, folder)
     return out
 
 
