@@ -47,8 +47,12 @@ TIMEOUT = "7 days"
 #: Rows without a time count as the earliest; so many ids share one slice of theirs.
 UNDATED = 100_000
 _END = datetime(9000, 1, 1)
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State in RocksDB, of which each batch writes what has changed and no copy of the whole.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 
 def speaker(role: Column) -> Column:
@@ -180,15 +184,17 @@ def _drain(spark: SparkSession, path: str, schema: str, closing: dict[str, objec
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     rows = step(reader.parquet(path).where("chat_session_id is not null").unionByName(spark.readStream.schema(fields).parquet(ends)))
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
     try:
+        for k, v in _STATE.items():
+            spark.conf.set(k, v)
         for last in (False, True):
             if last:
                 spark.range(1).select(*[F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in fields]).coalesce(1).write.mode("append").parquet(ends)
             rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     for folder in (ends, state):  # all is emitted, no state is left
         discard(spark, folder)
     return out
