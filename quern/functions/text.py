@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quern.functions.let import let
 
@@ -74,6 +78,32 @@ def fold(c: Column) -> Column:
     return F.translate(c, FOLD_FROM, FOLD_TO)
 
 
+@F.pandas_udf(StringType())
+def decomposed(text: pd.Series) -> pd.Series:
+    """Compatibility decomposition (NFKD), for which Spark has no function."""
+    return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+
+def fold_all(c: Column) -> Column:
+    """fold(), and all other letters decomposed and without combining marks."""
+    return F.regexp_replace(decomposed(fold(c)), r"\p{Mn}+", "")
+
+
+def source_lines(c: Column, label: str = "Təlimat bazası", closed: bool = True) -> Column:
+    """Lines that name a source with "Mənbə:" in bold: addresses stay as they are, training entries become LABEL.
+
+    If the sources are CLOSED, LABEL takes the place of every other source too, and of bulleted lists of sources; else those stay, in bold. Lines
+    that are bold already stay as they are.
+    """
+    bold = f"**Mənbə:** {label}"
+    c = F.regexp_replace(c, r"(?<!\*)Mənbə:\s*Q&A Training[^\n]*", bold)
+    c = F.regexp_replace(c, r"(?<!\*)Mənbə:\s*(https?://\S+)", "**Mənbə:** $1")
+    if not closed:
+        return F.regexp_replace(c, r"(?<!\*)Mənbə:\s*([^\n]+)", "**Mənbə:** $1")
+    c = F.regexp_replace(c, r"(?<!\*)Mənbə:\s*(?![^\n]*https?://)[^\n]+", bold)
+    return F.regexp_replace(c, r"(?miu)^\s*+(?:Mənbələr|Əsas mənbələr|Rəvayət mənbələri):?[^\S\n]*(?:\n\s*[-•].*)+", bold)
+
+
 def search_form(c: Column) -> Column:
     """For comparison: folded, lower case, Arabic terms in Latin letters, composed accents kept, separate combining marks removed."""
     t = F.lower(fold(c))

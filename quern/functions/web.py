@@ -14,6 +14,9 @@ DROPPED = ["script", "style", "nav", "header", "footer", "aside", "iframe", "nos
 FURNITURE_CLASSES = ["menu", "navigation", "sidebar"]
 NO_PAGES = ["pdf", "jpg", "jpeg", "png", "gif", "webp", "svg", "zip", "rar", "mp3", "mp4", "doc", "docx", "xls", "xlsx", "css", "js", "xml", "json"]
 NO_PATHS = ["/admin", "/login", "/logout", "/register", "/cart", "/wp-admin", "/search", "/tag/", "/feed"]
+# Fixed values of the crawl of a whole site: file endings, and parts of paths, that are no pages.
+SITE_NO_PAGES = ["pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar", "exe", "mp3", "mp4", "avi", "jpg", "jpeg", "png", "gif", "css", "js", "json", "xml", "svg", "ico", "woff", "ttf"]
+SITE_NO_PATHS = ["/admin", "/wp-admin", "/wp-content", "/assets", "/static", "/images", "/img", "/js", "/css", "/fonts", "/media", "/uploads", "/download", "/api", "/ajax"]
 
 
 @F.pandas_udf(StringType())
@@ -104,3 +107,23 @@ def in_scope(link: Column, base: Column) -> Column:
     path = F.coalesce(part(link, "PATH"), F.lit(""))
     bad = path.rlike(r"\.(" + "|".join(NO_PAGES) + ")$") | F.exists(F.array(*map(F.lit, NO_PATHS)), lambda x: path.startswith(x))
     return F.coalesce((part(link, "PROTOCOL") == part(base, "PROTOCOL")) & (part(link, "HOST") == part(base, "HOST")) & ((first(base) == "") | (first(link) == first(base))) & ~bad, F.lit(False))
+
+
+def in_site_scope(link: Column, base: Column, siblings: bool = False) -> Column:
+    """Whether LINK belongs to the crawl of a whole site from the page BASE: its scheme and host, and on or below its path.
+
+    With SIBLINGS pages count too that differ from BASE in the last segment only, from two segments on. Files and paths with an excluded part
+    are out, as are null links and links without a scheme.
+    """
+    part = lambda u, i: F.regexp_extract(F.trim(u), r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)", i)
+    path = lambda u: F.regexp_replace(part(u, 3), "/+$", "")
+    same = (part(link, 2) != "") & (F.lower(part(link, 1)) == F.lower(part(base, 1))) & (F.lower(part(link, 2)) == F.lower(part(base, 2)))
+    inside = F.concat(path(link), F.lit("/")).startswith(F.concat(path(base), F.lit("/")))
+    if siblings:
+        parents = r"/[^/]+$"  # doubled slashes are one
+        one = lambda u: F.regexp_replace(path(u), "/+", "/")
+        up = lambda u: F.regexp_replace(one(u), parents, "")
+        inside = inside | ((up(base) != "") & (up(link) == up(base)) & (one(link) != one(base)))
+    low = F.lower(path(link))
+    bad = low.rlike(r"\.(" + "|".join(SITE_NO_PAGES) + ")$") | low.rlike("|".join(SITE_NO_PATHS))
+    return F.coalesce(same & inside & ~bad, F.lit(False))

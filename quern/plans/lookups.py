@@ -82,6 +82,19 @@ def _sizes(s, d):  # noqa: ANN001, ANN202
 
 
 _add("catalog_size", _sizes, " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in _TABLES))
+
+
+def _file_sizes(s, d):  # noqa: ANN001, ANN202
+    """Bytes of the files of each table, from the metadata of the scan; no column is read."""
+    out = None
+    for t in _TABLES:
+        files = table(s, d, t).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.max("file_size").alias("size"))
+        n = files.agg(F.sum("size").alias("bytes")).select(F.lit(t).alias("name"), "bytes")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+_add("catalog_bytes", _file_sizes)
 _add(
     "r_resolve",
     lambda s, d: (lambda h, e: h.join(e.select("vec_id", F.col("label").alias("direct")), "vec_id", "left").join(e.groupBy("label").agg(F.min("vec_id").alias("lowest")), "label", "left").select("question_id", "rank", "vec_id", F.coalesce("direct", "label").alias("source"), "lowest"))(_hits(s, d), table(s, d, "embeddings")),

@@ -30,6 +30,9 @@ _UN = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;
 _clean = "content"
 for _tag in H.DROPPED:
     _clean = rf"regexp_replace({_clean}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}>', ' ', 'g')"
+for _word in H.FURNITURE_CLASSES:
+    for _tag in ("div", "ul", "section"):
+        _clean = rf"""regexp_replace({_clean}, '(?is)<{_tag}\b[^>]*class=["''][^"'']*{_word}[^"'']*["''][^>]*>.*?</{_tag}>', ' ', 'g')"""
 _clean = rf"trim(regexp_replace(regexp_replace(regexp_replace({_UN.format(_clean)}, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r]+', ' ', 'g'), '\s*\n\s*', E'\n', 'g'))"
 _add("h_clean", lambda s, d: _kb(s, d).select("id", F.md5(H.clean_text(F.col("content"))).alias("hash")), f"select id, md5({_clean}) as hash from knowledge_base")
 _HOST = r"regexp_replace(lower(nullif(regexp_extract(trim(source_url), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1), '')), '^www\.', '')"
@@ -43,6 +46,11 @@ _add("h_links", lambda s, d: H.links(_pages(s, d), "id", "source_url", "content"
 _add("h_links_per_page", lambda s, d: H.links(_pages(s, d), "id", "source_url", "content").groupBy("id").agg(F.count("*").alias("links")), f"select id, count(distinct l) as links from (select id, {_HREF} l from knowledge_base where source_url like '%://%') where l like '/%' group by 1")
 _BASE = "https://sual.nurqapi.example/yazi/"
 _add("scope_filter", lambda s, d: _pages(s, d).select("id", H.in_scope(F.trim("source_url"), F.lit(_BASE)).alias("in_scope")), r"select id, regexp_matches(lower(trim(source_url)), '^https://sual\.nurqapi\.example/yazi(/|[?#]|$)') and not regexp_matches(lower(trim(source_url)), '\.pdf([?#]|$)') as in_scope from knowledge_base where source_url like '%://%'")
+_URL = lambda i, u="trim(source_url)": rf"regexp_extract({u}, '^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', {i})"
+_SITE = rf"""with p as (select id, lower({_URL(1)}) || '://' || lower({_URL(2)}) as root, regexp_replace({_URL(3)}, '/+$', '') as path from knowledge_base where source_url like '%://%'),
+o as (select *, root = 'https://sual.nurqapi.example' and not regexp_matches(lower(path), '\.({'|'.join(H.SITE_NO_PAGES)})$') and not ({' or '.join(f"contains(lower(path), '{x}')" for x in H.SITE_NO_PATHS)}) as ok, list_filter(string_split(path, '/'), lambda x: x != '') as s from p)
+select id, ok and starts_with(path || '/', '/yazi/') as below, ok and (starts_with(path || '/', '/yazi/start/') or len(s) = 2 and s[1] = 'yazi' and s[2] != 'start') as beside from o"""
+_add("scope_site", lambda s, d: _pages(s, d).select("id", H.in_site_scope(F.col("source_url"), F.lit(_BASE)).alias("below"), H.in_site_scope(F.col("source_url"), F.lit(f"{_BASE}start"), siblings=True).alias("beside")), _SITE)
 
 
 def _crawled(s, d, depth: int = 3):  # noqa: ANN001, ANN202
@@ -89,6 +97,15 @@ _hits = lambda s, d: Q.top_k(_ask(s, d), _vec(s, d), 10).join(table(s, d, "embed
 _add("r_topk", lambda s, d: _hits(s, d).select("question_id", "vec_id", F.round("score", 6).alias("score"), "rank"), _HITS + " select question_id, vec_id, round(score, 6) as score, rank from h")
 _add("v_cosine", lambda s, d: table(s, d, "embeddings").alias("a").join(table(s, d, "embeddings").withColumn("vec_id", F.col("vec_id") - 1).alias("b"), "vec_id").select("vec_id", F.round(V.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine")), f"select q.vec_id, round({_COS}, 6) as cosine from embeddings q join embeddings v on v.vec_id = q.vec_id + 1")
 _add("v_hash_embed", lambda s, d: table(s, d, "chat_feedback").select("id", V.hash_embedding(F.col("message_content")).alias("e")).select("id", F.round(V.norm(F.col("e")), 6).alias("norm"), F.size(F.filter("e", lambda x: x > 0)).alias("slots")))
+_BYTE = "cast(('0x' || {}) as integer)"
+_DIGEST = f"""with t as (select id, [sha256(message_content), md5(message_content), sha1(message_content)] as d, coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(message_content)), '..'), lambda x: {_BYTE.format('x')})), 0) as b, strlen(message_content) as n from chat_feedback),
+v as (select id, list_transform(range(1536), lambda i: case when i % 64 * 2 < length(d[i // 512 + 1]) then {_BYTE.format('substring(d[i // 512 + 1], cast(i % 64 * 2 + 1 as bigint), 2)')} / 255.0 * 2 - 1 else sin(i * 0.1 + b * 0.001) * cos(n * 0.1) end) as e from t),
+l as (select id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as length from v)"""
+_add(
+    "v_hash_embed_1536",
+    lambda s, d: table(s, d, "chat_feedback").select("id", V.digest_embedding(F.col("message_content")).alias("e")).select("id", *[F.round(F.get("e", F.lit(i)), 6).alias(f"e{i}") for i in (0, 40, 600, 1100, 1535)]),
+    _DIGEST + " select id, " + ", ".join(f"round(e[{i + 1}] / length, 6) as e{i}" for i in (0, 40, 600, 1100, 1535)) + " from l",
+)
 _add("r_min_score", lambda s, d: R.keep_if_any(_hits(s, d), F.col("score") >= 0.99999, ["question_id"]).select("question_id", "vec_id"), _HITS + ", k as (select *, max(score >= 0.99999) over (partition by question_id) as any_ok from h) select question_id, vec_id from k where score >= 0.99999 or not any_ok")
 _add("r_restrict_kb", lambda s, d: R.keep_if_any(_hits(s, d), F.col("label") == 3, ["question_id"]).select("question_id", "vec_id"), _HITS + ", k as (select *, max(label = 3) over (partition by question_id) as any_ok from h) select question_id, vec_id from k where label = 3 or not any_ok")
 _add("a_kb_score_sum", lambda s, d: Q.dominant(_hits(s, d), of="label", top=2).select("question_id", "label", F.round("total", 5).alias("total")), _HITS + ", t as (select question_id, label, round(sum(score), 9) as total from h group by 1, 2) select question_id, label, round(total, 5) as total from t qualify row_number() over (partition by question_id order by t.total desc, label) <= 2")

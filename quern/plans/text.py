@@ -27,6 +27,8 @@ _FOLD = f"translate(content, '{T.FOLD_FROM}', '{T.FOLD_TO}')"
 _LOW = f"lower(translate(trim(content), '{T.FOLD_FROM}', '{T.FOLD_TO}'))"
 _or = lambda x, ws: "(" + " or ".join(f"contains({x}, '{w}')" for w in ws) + ")"
 _over("t_fold_az", lambda: [T.fold(_c()).alias("folded")], f"{_FOLD} as folded")
+_over("t_fold_nfkd", lambda: [F.md5(T.fold_all(_c())).alias("hash")])
+_over("t_source_fmt", lambda: [F.md5(T.source_lines(_c())).alias("hash"), F.md5(T.source_lines(_c(), closed=False)).alias("open_hash")])
 _search = f"lower({_FOLD})"
 for _a, _b in T.ARABIC.items():
     _search = f"replace({_search}, '{_a}', '{_b}')"

@@ -102,3 +102,60 @@ def test_web(spark):
     assert f(lambda c: H.in_scope(c, F.lit("https://h.example/blog/")), "https://h.example/blog/x.pdf") is False
     df = spark.createDataFrame([("a &lt; b &eacute;",)], "t string")
     assert df.select(H.decode_entities("t")).collect()[0][0] == "a < b é"
+
+
+def test_site_scope(spark):
+    base = "https://h.example/az/book/12/"
+    f = lambda link, siblings=False, b=base: one(spark, H.in_site_scope(F.col("t"), F.lit(b), siblings), "t string", link)
+    assert f("HTTPS://H.example:443/az/book/12") and f("https://h.example/az/book/12/part?x=1#y")
+    assert not f("https://h.example/az/book/13") and f("https://h.example/az/book/13", True)
+    assert not f("https://h.example/az/book/13/part", True) and not f("https://h.example/en/book/12", True) and not f("https://h.example/az", True)
+    assert not f("http://h.example/az/book/12") and not f("https://g.example/az/book/12") and not f("/az/book/12") and not f(None)
+    assert not f("https://h.example/az/book/12/a.PDF") and not f("https://h.example/az/book/12/images/a")
+    assert f("https://h.example/any", b="https://h.example") and f("https://h.example", b="https://h.example/") and not f("https://h.example/b", True, "https://h.example/a")
+
+
+def test_digest_embedding_against_brute_force(spark):
+    import hashlib
+    import math
+
+    def slow(text):
+        raw = text.encode()
+        digests = [hashlib.new(h, raw).hexdigest() for h in ("sha256", "md5", "sha1")]
+        v = []
+        for i in range(1536):
+            d, at = digests[i // 512], i % 64 * 2
+            v.append(int(d[at : at + 2], 16) / 255 * 2 - 1 if at < len(d) else math.sin(i * 0.1 + sum(raw) * 0.001) * math.cos(len(raw) * 0.1))
+        length = math.sqrt(sum(x * x for x in v))
+        return [x / length for x in v]
+
+    for text in ("", "salam", "Əlaqə üçün 12 sual? " * 200):
+        assert one(spark, V.digest_embedding(F.col("t")), "t string", text) == pytest.approx(slow(text), abs=1e-9)
+    assert one(spark, V.digest_embedding(F.col("t")), "t string", None) is None
+
+
+def test_fold_all(spark):
+    f = lambda t: one(spark, T.fold_all(F.col("t")), "t string", t)
+    assert f("Əlaqə e\u0301té ﬁ ² İ") == "elaqe ete fi 2 i" and f("") == "" and f(None) is None
+
+
+def test_source_lines(spark):
+    f = lambda t, closed=True: one(spark, T.source_lines(F.col("t"), "L", closed), "t string", t)
+    assert f("a\nMənbə: Q&A Training, no 3\nb") == "a\n**Mənbə:** L\nb"
+    assert f("Mənbə:  https://h.example/x y") == "**Mənbə:** https://h.example/x y"
+    assert f("Mənbə: some book\nb") == "**Mənbə:** L\nb" and f("Mənbə: some book\nb", False) == "**Mənbə:** some book\nb"
+    assert f("Mənbə: see https://h.example") == "Mənbə: see https://h.example"
+    assert f("Mətn.\nMənbələr:\n- Book one\n• Book two\nson") == "Mətn.\n**Mənbə:** L\nson"
+    assert f("**Mənbə:** ready") == "**Mənbə:** ready" and f("") == "" and f(None) is None
+
+
+def test_bytes_of_tables(spark):
+    import os
+
+    from quern.plans.lookups import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    for r in QUERIES["catalog_bytes"](spark, folder).collect():
+        path = f"{folder}/{r.name}.parquet"
+        files = [path] if os.path.isfile(path) else [f"{path}/{x}" for x in os.listdir(path) if x.endswith(".parquet")]
+        assert r.bytes == sum(map(os.path.getsize, files))
