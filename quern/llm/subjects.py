@@ -132,7 +132,8 @@ def _scored(found: DataFrame, rules: DataFrame) -> DataFrame:
     heads = rules.select(F.get("words", F.lit(0)).alias("w"), F.slice("words", 2, MOST_WORDS).alias("rest"), "subject", "evidence")
     heads = F.broadcast(heads) if n <= BROADCAST_RULES else heads
     hits = found.select("doc_id", "n_sentences", "sentence", "words", F.explode("words").alias("w")).join(heads, "w")
-    hits = hits.where(F.size(F.array_except("rest", "words")) == 0)
+    hits = hits.where(F.size(F.array_except("rest", "words")) == 0).select("doc_id", "n_sentences", "sentence", "subject", "evidence")
+    hits = hits.repartition("doc_id")  # all further grouping is within a document, so this is the only shuffle
     by = hits.groupBy("doc_id", "n_sentences", "sentence", "subject").agg(F.exp(F.least(F.sum("evidence"), F.lit(30.0))).alias("e"))
     return by.groupBy("doc_id", "n_sentences", "sentence").agg(F.max_by("subject", F.struct("e", "subject")).alias("subject"), F.max("e").alias("best"), F.sum("e").alias("all"))
 
