@@ -2,8 +2,9 @@
 
 A hidden Markov model labels the characters of a text. It has one clean state and one state for each pair of encodings (written in
 one, read in another). Each state emits a character depending on the one before it; the clean state has learned these probabilities
-from a bounded sample of texts, each other state from the same texts after being garbled in its way. The Viterbi path is found for
-many texts at once in Arrow batches, each labelled span gets the inverse transform of its state.
+from all texts without anything suspect, each other state from the same texts after being garbled in its way. Tasks count pairs of
+characters; as every way of garbling goes character by character, the counts of garbled texts follow from those of clean ones. The
+Viterbi path is found for many texts at once in Arrow batches, each labelled span gets the inverse transform of its state.
 
 Texts without any character (or pair of characters) that is likelier in a garbled state than in the clean one have the all-clean path;
 a regular expression inside the JVM leaves them out before any row reaches Python.
@@ -11,7 +12,9 @@ a regular expression inside the JVM leaves them out before any row reaches Pytho
 
 from __future__ import annotations
 
+import functools
 import html
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,23 +26,27 @@ from pyspark.sql import functions as F
 
 from quern.sources import table
 
-#: Bounds of the training sample: texts of each kind, chosen by the hash of the text.
-SAMPLE_MESSAGES, SAMPLE_PAGES = 4000, 120
+#: Characters whose pairs are counted at once (a longer text is counted alone).
+COUNTED = 2_000_000
+#: Some people write in one case: each text counts so often in upper and in lower case besides.
+ONE_CASE = 1 / 8
 #: Natural logarithms of entering a garbled state, of leaving it, and of changing from one to another.
 ENTER, LEAVE, CHANGE = -8.0, -4.6, -13.8
 #: Least probability of a character: in the clean state (any script may turn up anywhere) and in a garbled one.
 UNSEEN_CLEAN, UNSEEN_GARBLED = 1e-5, 1e-8
 #: The same for the replacement character and C1 controls, which no clean text has.
 UNSEEN_BROKEN = 1e-14
-#: Weight of the single-character distribution in that of pairs.
-SMOOTH = 4.0
+#: Weight of the single-character distribution in that of pairs, for each SMOOTH_PER characters of training: letters that no clean text
+#: has are garbled too, so it must not fade as the corpus grows.
+SMOOTH, SMOOTH_PER = 4.0, 500_000
 #: Characters (padded) of one Viterbi batch.
 CELLS = 400_000
 
 # A text is looked at only if it has a character outside the plain alphabets, a pair that arises from two-byte letters, Cyrillic
 # letters in an odd case order, or an HTML entity.
 # Arrows, signs and emoji are in none of the encodings read.
-_PLAIN = r"\x09\x0a\x0d\x20-\x7eəğıöüşçƏĞİÖÜŞÇа-яА-ЯёЁ«»“”‘’–—…№•·©\u2190-\u21ff\u2600-\u27bf\u2900-\u297f" + "\U0001f000-\U0001faff"
+_SIGNS = (("\u2190", "\u21ff"), ("\u2600", "\u27bf"), ("\u2900", "\u297f"), ("\U0001f000", "\U0001faff"))
+_PLAIN = r"\x09\x0a\x0d\x20-\x7eəğıöüşçƏĞİÖÜŞÇа-яА-ЯёЁ«»“”‘’–—…№•·©" + "".join(f"{a}-{b}" for a, b in _SIGNS)
 SUSPECT = rf"[^{_PLAIN}]|[РСВ][ёЁ№«»“”‘’–—…•·©]|[а-яё][А-ЯЁ]|[А-ЯЁ]{{2}}|&[A-Za-z0-9]{{2,8}};"
 
 
@@ -161,39 +168,97 @@ PAIRS = _pairs()
 
 @dataclass
 class Model:
-    """index: character -> column (0: any other); log: natural logarithm of P(character | the one before, state), by pair of columns."""
+    """index: character -> column (0: any other; all signs share one); log: natural logarithm of P(character | the one before, state), by
+    pair of columns."""
 
     index: dict[str, int]
     log: np.ndarray
 
+    @property
+    def width(self) -> int:
+        return math.isqrt(len(self.log))
+
     def columns(self, text: str) -> np.ndarray:
         return np.fromiter(map(self.index.get, text, [0] * len(text)), dtype=np.int32, count=len(text))
 
 
+#: All ways of garbling, with the number of their state.
+_WAYS = [(k, g) for k, p in enumerate(PAIRS, 1) for g in p.garble]
+
+
+@functools.lru_cache(None)
+def _changed_by(char: str) -> int:
+    """The ways of garbling that change a character, as bits."""
+    return sum(1 << i for i, (_, g) in enumerate(_WAYS) if g(char) != char)
+
+
+def counts(texts: list[str]) -> pd.DataFrame:
+    """(ways, before, after, n): how often a pair of characters is in TEXTS, each between spaces, by the ways that change its text."""
+    out, begin = [], 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) <= COUNTED):
+            size += len(texts[end])
+            end += 1
+        sizes = np.array([len(t) + 2 for t in texts[begin:end]])
+        x = np.frombuffer("".join([" " + t + " " for t in texts[begin:end]] + [" "]).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        begin = end
+        seen = np.flatnonzero(np.bincount(x))
+        bits = np.zeros(seen[-1] + 1, dtype=np.int64)
+        bits[seen] = [_changed_by(chr(c)) for c in seen]
+        ways, of_text = np.unique(np.bitwise_or.reduceat(bits[x[:-1]], np.cumsum(sizes) - sizes), return_inverse=True)
+        key, n = np.unique(np.repeat(of_text, sizes) << 42 | x[:-1] << 21 | x[1:], return_counts=True)
+        out.append(pd.DataFrame({"ways": ways[key >> 42], "before": key >> 21 & 0x1FFFFF, "after": key & 0x1FFFFF, "n": n}))
+    return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("ways", "before", "after", "n")})
+
+
 def train(texts: list[str]) -> Model:
-    """Learns the emission probabilities of all states from clean texts (a bounded sample)."""
-    lines = [" " + t + " " for t in texts] or ["  "]
-    lines += [t.upper() for t in lines[::8]] + [t.lower() for t in lines[1::8]]  # some people write so
-    versions = [[lines]] + [[[" " + x + " " for t in texts if (x := g(t)) != t] or ["  "] for g in p.garble] for p in PAIRS]
-    seen = sorted(set().union(*(set().union(*map(set, v)) for vs in versions for v in vs)))
+    """Learns the emission probabilities of all states from clean texts."""
+    return learn(counts(texts))
+
+
+def _fold(text: str) -> str:
+    """Each sign as the same one."""
+    return "".join(_SIGNS[0][0] if any(a <= c <= b for a, b in _SIGNS) else c for c in text)
+
+
+def learn(found: pd.DataFrame) -> Model:
+    """The emission probabilities of all states from the counts of clean texts."""
+    ways, n = found["ways"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+    points, at = np.unique(np.concatenate([found["before"], found["after"]]).astype(np.int64), return_inverse=True)
+    chars, (before, after) = [chr(c) for c in points], at.reshape(2, -1)
+    # each version of the texts: its state, the text of each character, the weight of each pair
+    versions = [(0, str, n), (0, str.upper, n * ONE_CASE), (0, str.lower, n * ONE_CASE)]
+    versions += [(k, g, np.where(ways >> i & 1, n, 0.0)) for i, (k, g) in enumerate(_WAYS)]
+    versions = [(k, [_fold(g(c)) for c in chars], w) for k, g, w in versions]
+    used = [np.bincount(np.concatenate([before, after]), np.concatenate([w, w]), len(chars)) > 0 for *_, w in versions]
+    seen = sorted({" "}.union(*(x for (_, made, _), u in zip(versions, used) for x, y in zip(made, u) if y)))
     index = {c: i + 1 for i, c in enumerate(seen)}
     a = len(index) + 1
-    logs = np.empty((a * a, len(versions)), dtype=np.float32)
-    for k, vs in enumerate(versions):
+    logs = np.empty((a * a, len(PAIRS) + 1), dtype=np.float32)
+    smooth = SMOOTH * max(1.0, n.sum() / SMOOTH_PER)
+    for k in range(len(PAIRS) + 1):
         pairs = np.zeros(a * a)
-        for v in vs:
-            x = np.fromiter((index[c] for t in v for c in t), dtype=np.int64)
-            pairs += np.bincount(x[:-1] * a + x[1:], minlength=a * a)
+        for state, made, w in versions:
+            if state != k:
+                continue
+            first, last = (np.array([index.get(x[i], 0) for x in made], dtype=np.int64) for i in (0, -1))
+            pairs += np.bincount(last[before] * a + first[after], w, a * a)
+            single = np.bincount(after, w, len(chars))
+            for j in np.flatnonzero(single):
+                for x, y in zip(made[j], made[j][1:]):
+                    pairs[index[x] * a + index[y]] += single[j]
+            if not w.any():
+                pairs[index[" "] * (a + 1)] += 1
         pairs = pairs.reshape(a, a)
         single = pairs.sum(0)
         floor = np.full(a, UNSEEN_GARBLED)
         if k == 0:
             floor = np.array([UNSEEN_CLEAN, *(UNSEEN_BROKEN if "\x80" <= c <= "\x9f" or c == "�" else UNSEEN_CLEAN for c in seen)])
         p1 = single / max(single.sum(), 1)
-        before = pairs.sum(1, keepdims=True)
-        log = np.log((pairs + SMOOTH * p1[None, :]) / (before + SMOOTH) + floor[None, :])
+        log = np.log((pairs + smooth * p1[None, :]) / (pairs.sum(1, keepdims=True) + smooth) + floor[None, :])
         if k:  # characters that the garbling leaves alone but for their case say nothing, next to each other
-            to = {c: PAIRS[k - 1].garble[0](c) for c in seen}
+            to = {c: _fold(PAIRS[k - 1].garble[0](c)) for c in seen}
             made = set().union(*(set(x) for c, x in to.items() if x.lower() != c.lower()))
             # and one 8-bit alphabet read as another shows in its letters, not in bullets and quotes
             mute = set() if PAIRS[k - 1].name.startswith(("utf-8", "lost", "cp1252")) else {c for c in seen if not c.isalpha() and not "\x7f" < c < "\xa0" and c != "�"}
@@ -202,6 +267,8 @@ def train(texts: list[str]) -> Model:
         else:
             clean = log
         logs[:, k] = log.reshape(-1)
+    if sign := index.get(_SIGNS[0][0]):
+        index.update((chr(c), sign) for x, y in _SIGNS for c in range(ord(x), ord(y) + 1))
     return Model(index, logs)
 
 
@@ -224,7 +291,7 @@ def viterbi(model: Model, texts: list[str]) -> list[np.ndarray | None]:
 
 
 def _viterbi(model: Model, texts: list[str], group: list[int], out: list) -> None:
-    a, states = len(model.index) + 1, model.log.shape[1]
+    a, states = model.width, model.log.shape[1]
     longest = max(len(texts[i]) for i in group)
     n = len(group)
     chars = np.full((longest + 1, n), model.index.get(" ", 0), dtype=np.int32)
@@ -285,7 +352,7 @@ def _inverse(text: str, state: int, model: Model) -> str:
 
     def clean(x: str) -> float:
         at = model.columns(f" {x} ")
-        return float(model.log[at[:-1] * (len(model.index) + 1) + at[1:], 0].sum()) + np.log(UNSEEN_BROKEN) * sum(map(_broken, x))
+        return float(model.log[at[:-1] * model.width + at[1:], 0].sum()) + np.log(UNSEEN_BROKEN) * sum(map(_broken, x))
 
     return max([own, *(p.restore(text) for p in PAIRS if p.name.startswith("utf-8"))], key=clean)
 
@@ -310,12 +377,17 @@ def text_fields(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("me
     return out
 
 
-def fit(texts: DataFrame, messages: int = SAMPLE_MESSAGES, pages: int = SAMPLE_PAGES) -> Model:
-    """Trains on a sample of texts that have nothing suspect: at most MESSAGES short and PAGES long ones, by the hash of the text."""
-    plain = texts.where(F.col("text").isNotNull() & ~F.col("text").rlike(SUSPECT)).select("text").withColumn("h", F.xxhash64("text"))
-    short = plain.where(F.length("text") < 600).where(F.length("text") > 20).orderBy("h").limit(messages)
-    long = plain.where(F.length("text").between(600, 20_000)).orderBy("h").limit(pages)
-    return train([r.text for r in short.unionByName(long).collect()])
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield counts(f["text"].tolist())
+
+
+def fit(texts: DataFrame) -> Model:
+    """Trains on all texts that have nothing suspect. Only counts leave the tasks: a row for each pair of plain characters and set of
+    ways of garbling that change the text."""
+    plain = texts.where(F.col("text").isNotNull() & ~F.col("text").rlike(SUSPECT)).select("text")
+    found = plain.mapInPandas(_count, "ways bigint, before bigint, after bigint, n bigint")
+    return learn(found.groupBy("ways", "before", "after").agg(F.sum("n").alias("n")).toArrow().to_pandas())
 
 
 def label(texts: DataFrame, model: Model, prefilter: bool = True) -> DataFrame:

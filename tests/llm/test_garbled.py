@@ -1,3 +1,7 @@
+import re
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from quern.llm import garbled as G
@@ -84,3 +88,31 @@ def test_impossible_inverse_takes_the_likeliest_result(model):
     bad = G.PAIRS[0].garble[0](CLEAN[0])
     twice = 1 + [p.name for p in G.PAIRS].index("utf-8 as cp1252, twice")
     assert G._inverse(bad, twice, model) == CLEAN[0]
+
+
+def test_every_text_is_counted(spark):
+    texts = [f"{CLEAN[i % len(CLEAN)]} {i}" for i in range(6000)] + ["Ok", "Щъщъ ёъ.", CLEAN[0] * 300]
+    texts = [t for t in texts if not re.search(G.SUSPECT, t)]
+    got, want = G.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)), G.train(texts)
+    assert got.index == want.index and np.array_equal(got.log, want.log)
+    x, y = (want.index[c] for c in "ёъ")
+    assert got.log[x * got.width + y, 0] > np.log(G.UNSEEN_CLEAN) + 1
+
+
+def test_counts_of_garbled_texts_follow_from_clean_ones(monkeypatch):
+    texts = ["short", "Türkçe şey", "Жук 😀 → ёж", "“So” – No…", "ıĞ"] * 3
+    monkeypatch.setattr(G, "COUNTED", 20)
+    model = G.train(texts)
+    for name in ("utf-8 as cp437", "utf-8 as cp1252, twice", "lost bytes"):
+        k = 1 + [p.name for p in G.PAIRS].index(name)
+        bad = "".join(f" {x} " for g in G.PAIRS[k - 1].garble for t in texts if (x := g(t)) != t)
+        pairs, single, before = Counter(zip(bad, bad[1:])), Counter(bad[1:]), Counter(bad[:-1])
+        for (x, y), n in pairs.items():
+            if min(x, y) > "\x7f":
+                p = (n + G.SMOOTH * single[y] / len(bad)) / (before[x] + G.SMOOTH) + G.UNSEEN_GARBLED
+                assert abs(model.log[model.index[x] * model.width + model.index[y], k] - np.log(p)) < 0.03, (name, x, y)
+
+
+def test_a_larger_corpus_of_the_same_texts_gives_the_same_model():
+    a, b = (G.train(CLEAN * n) for n in (1200, 2400))
+    assert a.index == b.index and np.allclose(a.log, b.log, atol=1e-3)
