@@ -1,25 +1,28 @@
 """Problem 5: the main body of web pages, by wrapper induction per host.
 
 Each page is a tree: its lines, below a line the parts of a menu or what stands behind a label. Trees of pages of one host (and
-language) are aligned by simple tree matching, a bounded sample of them one after the other with the tree grown so far: what matches
-is merged, what doesn't is inserted in its place. Then every page is aligned with its host's tree, and the matches are counted over the
-whole corpus, before any shuffle within each task. Nodes matched on enough pages are constant: they are the template. In a last pass
+language) are aligned by simple tree matching, one after the other with the tree grown so far: what matches is merged, what doesn't is
+inserted in its place. Labels are counted over all pages beforehand, and nodes on too few of them to become constant are left out of the
+trees. Then every page is aligned with its host's tree, and the matches are counted over the whole corpus, before any shuffle within
+each task. Nodes matched on enough pages are constant: they are the template. In a last pass
 every page is aligned with the template of its host; what is matched is template, what varies lies in slots: a slot below a heading
 that is followed by titles wherever it stands belongs to the furniture (teasers), any other is content. Subtrees that are constant over
 the hosts of a language are matched wherever they stand on a page.
-No task holds the pages of a host: the sample is bounded, only counts are grouped by host, and pages stream past the tree of their host.
+No task holds the pages of a host: only counts are grouped by host, pages stream past the tree of their host, and the trees that grow
+in the parts of a large host are aligned with each other.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.garbled import fit, label, text_fields
@@ -35,8 +38,10 @@ KEEPS, KEEPS_LEAST, KEEPS_SHARE = 0.2, 4, 0.02
 TITLES_AFTER = 0.8
 #: As many titles may lie below such a heading as this share of its places has at most.
 TITLES_SHARE = 0.98
-#: Pages of a host and language (by the hash of their content) from which its tree is grown.
-SAMPLE = 150
+#: A host and language with so many pages is divided into parts.
+HOT_PAGES = 20_000
+#: Different pages that a growing tree remembers, so as not to align equal ones again.
+KNOWN = 10_000
 
 # Labels of questions and answers, which are body wherever they stand.
 _TALK = {"sual", "cavab", "soru", "cevap", "question", "answer", "вопрос", "ответ", "q", "a"}
@@ -207,13 +212,22 @@ def grow(tree: list[Tree], page: Sequence[Tree]) -> list[Tree]:
     return [n for k in range(-1, len(out)) for n in ([out[k]] if k >= 0 else []) + behind.get(k, [])]
 
 
+def labels_of(page: Sequence[Tree]) -> set[str]:
+    return {n[0] for n in page} | {c[0] for n in page for c in n[1]}
+
+
+def reduced(page: Sequence[Tree], keep: Callable[[str], bool]) -> tuple[Tree, ...]:
+    """PAGE without the nodes and parts whose labels aren't to KEEP."""
+    kept = [(n[0], tuple(c for c in n[1] if keep(c[0]))) for n in page if keep(n[0])]
+    return tuple(n for n in kept if n[1] or n[0] != _MENU)
+
+
 def host_tree(pages: Sequence[Sequence[Tree]]) -> list[Tree]:
     """The tree of a host, grown from PAGES. Nodes on a single one of them can't match and are left out beforehand."""
-    seen = Counter(x for p in pages for x in {n[0] for n in p} | {c[0] for n in p for c in n[1]})
+    seen = Counter(x for p in pages for x in labels_of(p))
     tree: list[Tree] = []
     for p in pages:
-        kept = [(n[0], tuple(c for c in n[1] if seen[c[0]] > 1)) for n in p if seen[n[0]] > 1]
-        tree = grow(tree, [n for n in kept if n[1] or n[0] != _MENU])
+        tree = grow(tree, reduced(p, lambda x: seen[x] > 1))
     return tree
 
 
@@ -292,33 +306,93 @@ def _tree(rows) -> list[Tree]:  # noqa: ANN001
     return [(x["label"], tuple((p, ()) for p in x["parts"])) for x in rows] if rows is not None else []
 
 
-def _grown(f: pd.DataFrame) -> pd.DataFrame:
-    f = f.sort_values(["h", "kb_id"])
-    tree = host_tree([Page(c, t, w).nodes for c, t, w in zip(f["content"], f["title"], f["word"])])
-    rows = [{"label": label, "parts": [c[0] for c in children]} for label, children in tree]
-    return pd.DataFrame({"site": [f["site"].iat[0]], "tree": pd.Series([rows], dtype=object)})
+@functools.lru_cache(50_000)
+def _number(label: str) -> int:
+    """A label as 64 bits; two labels with one number could only add a node to a tree."""
+    return int.from_bytes(hashlib.blake2b(label.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def host_trees(pages: DataFrame) -> DataFrame:
-    """(site, tree) of every host and language, from SAMPLE of its pages at most; each task cuts to the sample before the shuffle."""
-    w = Window.partitionBy("site").orderBy("h", "kb_id")
-    sample = pages.withColumn("h", F.xxhash64("content")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= SAMPLE)
-    return sample.select("site", "h", "kb_id", "content", "title", "word").groupBy("site").applyInPandas(_grown, f"site string, tree {_TREE}")
+def _count_labels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        n = Counter((s, x) for s, c, t, w in zip(f["site"], f["content"], f["title"], f["word"]) for x in {_number(y) for y in labels_of(Page(c, t, w).nodes)})
+        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["site", "label", "n"])
 
 
-def _beside(pages: DataFrame, trees: DataFrame, run: Callable[[Page, object], list[tuple]], prepare: Callable[[pd.Series], object], schema: str) -> DataFrame:
-    """RUN(page, state) of every page, as rows of (site, kb_id, *schema); the state is PREPARE(row of TREES of the page's site).
+def frequent_labels(pages: DataFrame) -> DataFrame:
+    """(site, labels) of every host and language: the labels on so many of all pages that their nodes may become constant.
 
-    The row of a site comes before its pages in each partition and is sent and prepared once there, not once per page. Sites with very many pages are
-    divided into parts.
+    A node is never matched on more pages than its label is on, so no other node passes the shares of induce(), and these bound the list
+    as they bound a template.
     """
-    hot = F.broadcast(hot_keys(pages, "site", 20_000))
+    found = pages.select("site", "content", "title", "word").mapInPandas(_count_labels, "site string, label bigint, n bigint")
+    host = write_and_read(found.groupBy("site", "label").agg(F.sum("n").alias("n")).withColumn("lang", F.substring_index("site", " ", -1)), "labels")
+    sizes = pages.groupBy("site", "lang").agg(F.count("*").alias("pages"))
+    all_pages = F.broadcast(sizes.groupBy("lang").agg(F.sum("pages").alias("pages")))
+    common = host.groupBy("lang", "label").agg(F.sum("n").alias("n")).join(all_pages, "lang").where(F.col("n") >= F.greatest(F.lit(2), SHARE * F.col("pages")))
+    by_lang = common.groupBy("lang").agg(F.collect_list("label").alias("common"))
+    own = host.drop("lang").join(sizes, "site").where(F.col("n") >= F.greatest(F.lit(2), min(OWN_SHARE, KEEPS_SHARE) * F.col("pages")))
+    by_host = own.groupBy("site").agg(F.collect_list("label").alias("own"))
+    none = F.array().cast("array<bigint>")
+    out = sizes.join(by_host, "site", "left").join(F.broadcast(by_lang), "lang", "left")
+    return out.select("site", F.array_union(F.coalesce("own", none), F.coalesce("common", none)).alias("labels"))
+
+
+def _rows_of(tree: Sequence[Tree]) -> list[dict]:
+    return [{"label": label, "parts": [c[0] for c in children]} for label, children in tree]
+
+
+def _grown(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tree of each site and part, from rows of _side_by_side() with the labels to keep."""
+    site, part, tree, labels, known = None, 0, [], set(), set()
+    done = lambda: pd.DataFrame({"site": [site], "part": [part], "tree": pd.Series([_rows_of(tree)], dtype=object)})
+    for f in frames:
+        for row in f.to_dict("records"):
+            if row["page"] == 0:
+                if site is not None:
+                    yield done()
+                site, part, tree, labels, known = row["site"], row["part"], [], set(row["labels"]), set()
+            elif row["site"] == site:
+                page = reduced(Page(row["content"], row["title"], row["word"]).nodes, lambda x: _number(x) in labels)
+                if page not in known:  # else all of it would match
+                    if len(known) == KNOWN:
+                        known.clear()
+                    known.add(page)
+                    tree = grow(tree, page)
+    if site is not None:
+        yield done()
+
+
+def _merged(f: pd.DataFrame) -> pd.DataFrame:
+    tree: list[Tree] = []
+    for x in f.sort_values("part")["tree"]:
+        tree = grow(tree, _tree(x))
+    return pd.DataFrame({"site": [f["site"].iat[0]], "tree": pd.Series([_rows_of(tree)], dtype=object)})
+
+
+def host_trees(pages: DataFrame) -> DataFrame:
+    """(site, tree) of every host and language, grown from all of its pages; the trees of the parts of a large one are aligned in turn."""
+    parts = _side_by_side(pages, write_and_read(frequent_labels(pages), "frequent")).mapInPandas(_grown, f"site string, part int, tree {_TREE}")
+    return parts.groupBy("site").applyInPandas(_merged, f"site string, tree {_TREE}")
+
+
+def _side_by_side(pages: DataFrame, states: DataFrame) -> DataFrame:
+    """PAGES and STATES (site, ...) by site, the row of a site (page = 0) before its pages, these by kb_id. Sites with very many pages are
+    divided into parts, each with the row of its site.
+    """
+    hot = F.broadcast(hot_keys(pages, "site", HOT_PAGES))
     salted = lambda df: df.join(hot, df["site"] == hot["_hot"], "left")
     part = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("kb_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     parts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     a = salted(pages).select("site", part.alias("part"), F.lit(1).alias("page"), "kb_id", "content", "title", "word")
-    b = salted(trees).select(*trees.columns, F.explode(parts).alias("part"), F.lit(0).alias("page"))
-    rows = a.unionByName(b, allowMissingColumns=True).repartition("site", "part").sortWithinPartitions("site", "part", "page")
+    b = salted(states).select(*states.columns, F.explode(parts).alias("part"), F.lit(0).alias("page"))
+    return a.unionByName(b, allowMissingColumns=True).repartition("site", "part").sortWithinPartitions("site", "part", "page", "kb_id")
+
+
+def _beside(pages: DataFrame, trees: DataFrame, run: Callable[[Page, object], list[tuple]], prepare: Callable[[pd.Series], object], schema: str) -> DataFrame:
+    """RUN(page, state) of every page, as rows of (site, kb_id, *schema); the state is PREPARE(row of TREES of the page's site).
+
+    The row of a site is sent and prepared once in each partition, not once per page.
+    """
     names = ["site", "kb_id", *[x.split()[0] for x in schema.split(", ")]]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,7 +406,7 @@ def _beside(pages: DataFrame, trees: DataFrame, run: Callable[[Page, object], li
                     out += [(site, row["kb_id"], *x) for x in run(Page(row["content"], row["title"], row["word"]), state)]
             yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(each, f"site string, kb_id bigint, {schema}")
+    return _side_by_side(pages, trees).mapInPandas(each, f"site string, kb_id bigint, {schema}")
 
 
 def induce(pages: DataFrame, trees: DataFrame) -> DataFrame:

@@ -168,3 +168,28 @@ def test_subjects_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, subject string")
     assert S.assign(d, none, areas).count() == 0
     assert S.sentences(d).select(F.col("n_sentences")).collect()[0][0] == 1
+
+
+def test_tree_of_a_host_grows_from_all_pages(spark):
+    """Fifty notices, each on a fiftieth of the pages only: the tree has them all."""
+    name = lambda k: "abcdefghij"[k // 10] + "klmnopqrst"[k % 10]
+    rows = [(i, "https://www.site.example/p", f"T{i}", f"Home\nNotice {name(i % 50)}\nOwn {'x' * i}\nImprint") for i in range(300)]
+    trees = B.host_trees(B.site_columns(spark.createDataFrame(rows, PAGE))).collect()
+    assert len(trees) == 1 and {x["label"] for x in trees[0]["tree"]} == {"home", "imprint", *(f"notice {name(k)}" for k in range(50))}
+
+
+def test_trees_in_spark_are_those_of_all_pages(spark):
+    data, _ = pages()
+    df = B.site_columns(spark.createDataFrame(data, PAGE))
+    rows = sorted(df.collect(), key=lambda r: r.kb_id)
+    want = B.host_tree([B.Page(r.content, r.title, r.word).nodes for r in rows])
+    assert [B._tree(r["tree"]) for r in B.host_trees(df).collect()] == [want]
+
+
+def test_parts_of_a_large_host(spark, monkeypatch):
+    data, _ = pages(60)
+    df = spark.createDataFrame(data, PAGE)
+    whole = {tuple(r) for r in B.furniture(df).collect()}
+    monkeypatch.setattr(B, "HOT_PAGES", 10)
+    monkeypatch.setattr(B, "KNOWN", 1)
+    assert {tuple(r) for r in B.furniture(df).collect()} == whole
